@@ -13,8 +13,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality}
 
 
 def oracle_sql() -> dict[str, str]:
