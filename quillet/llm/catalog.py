@@ -19,8 +19,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality}
+    return {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
