@@ -25,9 +25,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import source_mix
+
+    return {"op9_source_mix": source_mix.ORACLE_SQL}
