@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillet.session import ship_package
 
 from .labelled import class_weights, training_labels
-from .text import binary_column, held_out, map_batches, only
+from .text import binary_column, held_out, map_batches, mix, only
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -40,13 +40,47 @@ RATE = 40.0
 THRESHOLD = 0.3
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of the word and of its character n-grams, with marks at both ends."""
-    marked = "<" + word.decode("utf-8", "replace") + ">"
-    out = [zlib.crc32(b"w" + word) % BUCKETS]
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams, with marks at both ends, and how many each word has."""
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    marked = ["<" + w.decode("utf-8", "replace") + ">" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters up to the word's end
+    owners = [np.arange(len(words))]
+    buckets = [np.fromiter((zlib.crc32(b"w" + w) % BUCKETS for w in words), np.int32, len(words))]
     for n in NGRAMS:
-        out += [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + points[at + k]
+        buckets.append((mix(h) % np.uint64(BUCKETS)).astype(np.int32))
+        owners.append(owner[at])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    return np.concatenate(buckets)[order], np.bincount(np.concatenate(owners), minlength=len(words))
+
+
+class WordTable(dict):
+    """word -> row of tables that are kept beside it; forgets all between batches when it has grown too large."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit, self.new = limit, []
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        self.new.append(word)
+        return found
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def taken(self) -> list[bytes]:
+        """The words that came since the last call."""
+        out, self.new = self.new, []
+        return out
 
 
 def repeats(words: list[bytes]) -> tuple[int, int]:
@@ -54,21 +88,17 @@ def repeats(words: list[bytes]) -> tuple[int, int]:
     return sum(map(eq, words, words[1:])), sum(map(eq, words, words[2:]))
 
 
-def counted_features(words: list[bytes], known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def counted_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and each one's share in all its features."""
-    parts = []
-    for word in words:
-        if word not in known:
-            if len(known) > 50_000:
-                known.clear()
-            known[word] = np.array(word_features(word), np.int32)
-        parts.append(known[word])
-    for bucket, n in zip(REPEATS, repeats(words)):
-        parts.append(np.full(n, bucket, np.int32))
-    if not parts:
+    if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    ids, counts = np.unique(np.concatenate(parts), return_counts=True)
-    return ids.astype(np.int32), (counts / counts.sum()).astype(np.float32)
+    known = WordTable()
+    rows = known.rows(words)
+    buckets, sizes = word_features(known.taken())
+    total = np.bincount(buckets, np.repeat(np.bincount(rows), sizes), BUCKETS)
+    np.add.at(total, list(REPEATS), repeats(words))
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), (total[ids] / total.sum()).astype(np.float32)
 
 
 class Model:
@@ -117,10 +147,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     sample = only(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def make():
-        known: dict[bytes, np.ndarray] = {}
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [counted_features((t or b"").split(), known) for t in binary_column(batch, "text")]
+            found = [counted_features((t or b"").split()) for t in binary_column(batch, "text")]
             blobs = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]
             return pa.record_batch([batch.column(0), batch.column(1), *blobs], ["doc_id", "y", "ids", "shares"])
 
@@ -142,30 +170,29 @@ def score_quality(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarr
 
     def make():
         per_feature = shared.value
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> tuple[float, int]:
-                if len(self) > 300_000:
-                    self.clear()
-                ids = word_features(word)
-                found = self[word] = (float(per_feature[ids].sum()), len(ids))
-                return found
-
-        known = Words()
+        state = {"known": WordTable(), "value": np.empty(0), "count": np.empty(0)}
+
+        def sums(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+            """Each text's sum of feature numbers and its number of features."""
+            if len(state["known"]) > state["known"].limit:
+                state.update(known=WordTable(), value=np.empty(0), count=np.empty(0))
+            rows = [state["known"].rows(words) for words in texts]
+            buckets, sizes = word_features(state["known"].taken())
+            if len(sizes):
+                state["value"] = np.r_[state["value"], np.add.reduceat(per_feature[buckets].astype(float), np.r_[0, np.cumsum(sizes)[:-1]])]
+                state["count"] = np.r_[state["count"], sizes]
+            return np.array([state["value"][r].sum() for r in rows]), np.array([state["count"][r].sum() for r in rows])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = []
-            for text in binary_column(batch, "text"):
-                total, n = 0.0, 0
-                words = (text or b"").split()
-                for value, count in map(known.__getitem__, words):
-                    total += value
-                    n += count
-                for bucket, count in zip(REPEATS, repeats(words)):
-                    total += float(per_feature[bucket]) * count
-                    n += count
-                scores.append(1 / (1 + np.exp(-np.clip(total / max(1, n) + bias, -50, 50))))
-            scores = np.array(scores)
+            texts = binary_column(batch, "text")
+            for at in range(0, len(texts), 500):
+                split = [(t or b"").split() for t in texts[at : at + 500]]
+                total, n = sums(split)
+                again = np.array([repeats(words) for words in split], float)
+                total, n = total + again @ per_feature[list(REPEATS)], n + again.sum(axis=1)
+                scores.append(1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + bias, -50, 50))))
+            scores = np.concatenate(scores)
             return pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
         return step
