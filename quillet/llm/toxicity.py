@@ -52,7 +52,6 @@ FEATURES = (
 ).split()
 _LETTERS = re.compile(r"[^\w]|_|\d")
 _STRETCHED = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?:\b\w[ .\-_*]){3,}\w\b")
 
 
 def plain(word: str) -> str:
@@ -66,34 +65,49 @@ def undone(word: str) -> str:
     return _STRETCHED.sub(r"\1", word) if len(word) > 3 else word
 
 
+#: Columns of the word table: what a word alone tells.
+WORD_COLUMNS = "fixed weight hidden_fixed hidden_weight second_person shouted mixed stretched length capitals bangs queries marks single".split()
+
+
 class WordFacts(dict):
-    """word -> (fixed, learned weight, hidden fixed, hidden weight, second person, capitals, ...)."""
+    """word -> row of `table`, whose columns are WORD_COLUMNS; reset() forgets all once it has grown too large."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], limit: int = 300_000):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.limit, self.new = lexicon, limit, []
+        self.table = np.empty((0, len(WORD_COLUMNS)), np.float32)
 
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        if len(self) > 200_000:
-            self.clear()
+    def __missing__(self, word: str) -> int:
         base = plain(word)
-        other = undone(word) if not word.isalpha() or _STRETCHED.search(word) else base
+        other = base if word.isalpha() and not _STRETCHED.search(word) else undone(word)
         hidden = other != base
-        fixed, weight = float(base in INSULTS), self.lexicon.get(base, 0.0)
-        found = self[word] = (
-            fixed, weight, float(hidden and other in INSULTS), self.lexicon.get(other, 0.0) if hidden else 0.0,
-            float(base in SECOND_PERSON), float(len(base) > 1 and word.isupper()),
-            float(any(c.isdigit() for c in base) and any(c.isalpha() for c in base)), float(bool(_STRETCHED.search(base))), float(len(word)),
-        )
+        self.new.append((
+            base in INSULTS, self.lexicon.get(base, 0.0), hidden and other in INSULTS, self.lexicon.get(other, 0.0) if hidden else 0.0,
+            base in SECOND_PERSON, len(base) > 1 and word.isupper(),
+            any(map(str.isdigit, base)) and any(map(str.isalpha, base)), bool(_STRETCHED.search(base)), len(word),
+            sum(map(str.isupper, word)), word.count("!"), word.count("?"), sum(map(word.count, "*#$%&@")), len(base) == 1 and base.isalpha(),
+        ))
+        found = self[word] = len(self)
         return found
 
-
-def features(text: str, facts: WordFacts) -> list[float]:
-    words = text.split()
-    if not words:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The table's rows of the words."""
+        if len(self) > self.limit:
+            self.clear()
+            self.table = self.table[:0]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new, np.float32)])
+            self.new = []
+        return self.table[at]
+
+
+def text_features(a: np.ndarray) -> list[float]:
+    """FEATURES of a text from its words' rows."""
+    n = len(a)
+    if not n:
         return [0.0] * len(FEATURES)
-    a = np.array([facts[w] for w in words])
-    n, chars = len(words), len(text)
+    total = a.sum(axis=0, dtype=np.float64)
     fixed, learned, hidden = a[:, 0] > 0, a[:, 1] > 0, (a[:, 2] > 0) | (a[:, 3] > 0)
     weights = np.maximum(a[:, 1], a[:, 3])
     you = np.flatnonzero(a[:, 4])
@@ -107,15 +121,32 @@ def features(text: str, facts: WordFacts) -> list[float]:
         gap = np.minimum(np.abs(at - you[np.clip(k, 0, len(you) - 1)]), np.abs(at - you[np.clip(k - 1, 0, len(you) - 1)]))
         return float(1 / (1 + gap.min()))
 
-    capitals = sum(map(str.isupper, text))
+    chars = total[8] + n
+    spaced = float((a[3:, 13] * a[2:-1, 13] * a[1:-2, 13] * a[:-3, 13]).sum()) if total[13] >= 4 else 0.0
+    n_fixed, n_learned = float(fixed.sum()), float(learned.sum())
     return [
-        float(fixed.sum() / n), float(learned.sum() / n), float(fixed.any()), float(learned.sum()), float(hidden.sum()), float(weights.sum()), float(weights.max()),
+        n_fixed / n, n_learned / n, float(n_fixed > 0), n_learned, float(hidden.sum()), float(weights.sum()), float(weights.max()),
         near(fixed | (a[:, 2] > 0)), near(learned), near(fixed | learned | hidden),
-        float(a[:, 5].mean()), capitals / chars, text.count("!") / n, text.count("?") / n, sum(text.count(c) for c in "*#$%&@") / chars,
-        float(a[:, 6].mean()), float(a[:, 7].mean()), float(a[:, 8].mean()), float(np.log1p(n)), float(len(_SPACED.findall(text))),
+        total[5] / n, total[9] / chars, total[10] / n, total[11] / n, total[12] / chars,
+        total[6] / n, total[7] / n, total[8] / n, float(np.log1p(n)), spaced,
     ]
 
 
+def features(text: str, facts: WordFacts) -> list[float]:
+    return text_features(facts.rows(text.split()))
+
+
+def feature_matrix(texts: list[str | None], facts: WordFacts) -> np.ndarray:
+    """One row of FEATURES a text; new words of many texts enter the table at once."""
+    out = []
+    for at in range(0, len(texts), 200):
+        split = [(t or "").split() for t in texts[at : at + 200]]
+        rows = facts.rows([w for words in split for w in words])
+        ends = np.cumsum([len(words) for words in split])
+        out += [text_features(rows[e - len(words) : e]) for e, words in zip(ends, split)]
+    return np.array(out).reshape(len(texts), len(FEATURES))
+
+
 class Trees:
     """Boosted regression trees on binned features; each tree is three flat arrays."""
 
@@ -255,8 +286,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
         facts = WordFacts(lexicon)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [features(t or "", facts) for t in batch.column(3).to_pylist()]
-            return pa.record_batch([*batch.columns[:3], pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
+            rows = feature_matrix(batch.column(3).to_pylist(), facts)
+            return pa.record_batch([*batch.columns[:3], pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
 
         return step
 
@@ -276,7 +307,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, model: Model | None
         facts = WordFacts(learned.lexicon)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([features(t or "", facts) for t in batch.column(2).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            x = feature_matrix(batch.column(2).to_pylist(), facts)
             scores = np.clip(learned.score(x), 0, 1)
             return pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
