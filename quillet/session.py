@@ -62,8 +62,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillet_shared_")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        found = getattr(context, "_quillet_shared", None) or "file://" + tempfile.mkdtemp(prefix="quillet_shared_")
+        context._quillet_shared = found
     return found.rstrip("/")
 
 
