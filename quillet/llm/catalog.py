@@ -38,6 +38,12 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup
 
@@ -61,6 +67,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import source_mix
+    from . import line_dedup, source_mix
 
-    return {"op9_source_mix": source_mix.ORACLE_SQL}
+    return {"op7_line_dedup": line_dedup.ORACLE_SQL, "op9_source_mix": source_mix.ORACLE_SQL}
