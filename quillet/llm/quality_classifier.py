@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillet.session import ship_package
 
 from .labelled import class_weights, training_labels
-from .text import binary_column, held_out, map_batches, mix, only
+from .text import binary_column, filter_rows, held_out, map_batches, mix, only
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -161,6 +161,34 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     return Model(docs, y, class_weights(y, sizes)).per_feature()
 
 
+def scorer(per_feature: np.ndarray, bias: float):
+    """A function from UTF-8 texts to scores; it keeps the word table between its calls."""
+    state = {"known": WordTable(), "value": np.empty(0), "count": np.empty(0)}
+
+    def sums(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's sum of feature numbers and its number of features."""
+        if len(state["known"]) > state["known"].limit:
+            state.update(known=WordTable(), value=np.empty(0), count=np.empty(0))
+        rows = [state["known"].rows(words) for words in texts]
+        buckets, sizes = word_features(state["known"].taken())
+        if len(sizes):
+            state["value"] = np.r_[state["value"], np.add.reduceat(per_feature[buckets].astype(float), np.r_[0, np.cumsum(sizes)[:-1]])]
+            state["count"] = np.r_[state["count"], sizes]
+        return np.array([state["value"][r].sum() for r in rows]), np.array([state["count"][r].sum() for r in rows])
+
+    def score(texts: list[bytes | None]) -> np.ndarray:
+        scores = []
+        for at in range(0, len(texts), 500):
+            split = [(t or b"").split() for t in texts[at : at + 500]]
+            total, n = sums(split)
+            again = np.array([repeats(words) for words in split], float)
+            total, n = total + again @ per_feature[list(REPEATS)], n + again.sum(axis=1)
+            scores.append(1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + bias, -50, 50))))
+        return np.concatenate(scores)
+
+    return score
+
+
 def score_quality(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1) and predicted (score >= THRESHOLD)."""
     ship_package(documents.sparkSession)
@@ -169,32 +197,25 @@ def score_quality(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarr
     shared = documents.sparkSession.sparkContext.broadcast(values)  # BUCKETS numbers, whatever the input
 
     def make():
-        per_feature = shared.value
-        state = {"known": WordTable(), "value": np.empty(0), "count": np.empty(0)}
-
-        def sums(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-            """Each text's sum of feature numbers and its number of features."""
-            if len(state["known"]) > state["known"].limit:
-                state.update(known=WordTable(), value=np.empty(0), count=np.empty(0))
-            rows = [state["known"].rows(words) for words in texts]
-            buckets, sizes = word_features(state["known"].taken())
-            if len(sizes):
-                state["value"] = np.r_[state["value"], np.add.reduceat(per_feature[buckets].astype(float), np.r_[0, np.cumsum(sizes)[:-1]])]
-                state["count"] = np.r_[state["count"], sizes]
-            return np.array([state["value"][r].sum() for r in rows]), np.array([state["count"][r].sum() for r in rows])
+        score = scorer(shared.value, bias)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = []
-            texts = binary_column(batch, "text")
-            for at in range(0, len(texts), 500):
-                split = [(t or b"").split() for t in texts[at : at + 500]]
-                total, n = sums(split)
-                again = np.array([repeats(words) for words in split], float)
-                total, n = total + again @ per_feature[list(REPEATS)], n + again.sum(axis=1)
-                scores.append(1 / (1 + np.exp(-np.clip(total / np.maximum(1, n) + bias, -50, 50))))
-            scores = np.concatenate(scores)
+            scores = score(binary_column(batch, "text"))
             return pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
         return step
 
     return map_batches(docs, make, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score the threshold or more."""
+    ship_package(documents.sparkSession)
+    values, bias = train(documents, labels)
+    shared = documents.sparkSession.sparkContext.broadcast(values)
+
+    def make():
+        score = scorer(shared.value, bias)
+        return lambda batch: score(binary_column(batch, "text")) >= threshold
+
+    return filter_rows(documents, make)

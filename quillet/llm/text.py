@@ -88,6 +88,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, for which a function of the batch (made once per task) is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(np.asarray(keep(batch), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text is a multiple of folds (null ids: the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
