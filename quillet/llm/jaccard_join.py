@@ -309,3 +309,9 @@ def join(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     by_digest = named.join(least, "comp").select("id", "component")
     joined = sets.withColumn("id", F.xxhash64("digest")).join(by_digest, "id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, **options) -> DataFrame:
+    """The documents, with all their columns, that have the least id of their component (null ids stay)."""
+    groups = join(documents, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("later_id")).distinct()
+    return documents.join(groups, documents["doc_id"].cast("long") == groups["later_id"], "left_anti")

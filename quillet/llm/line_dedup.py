@@ -91,6 +91,12 @@ def drop_templates(documents: DataFrame, min_docs: int = MIN_DOCS, similarity: f
     return joined.select(*columns, F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def cut_lines(documents: DataFrame) -> DataFrame:
+    """documents, with their columns alone, without recurring lines; a text of such lines only goes with its document."""
+    cut = drop_templates(documents)
+    return cut.where(~((F.col("n_dropped") > 0) & (F.trim("text") == ""))).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 def digest(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and the md5 of the text that is left (empty for null)."""
     kept = drop_templates(documents.select(documents["doc_id"], documents["text"]))
