@@ -17,6 +17,8 @@ other's words; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,24 +37,24 @@ def frequent_words(docs: DataFrame, share: float) -> np.ndarray:
     """Hashes of the words with at least this share of all words (1 / share of them at most)."""
 
     def count(batches):
-        hashes = WordHashes()
-        kept: dict[int, int] = {}
+        kept: Counter[bytes] = Counter()
         total = 0
         for batch in batches:
             for text in binary_column(batch, "text"):
                 words = (text or b"").split()
                 total += len(words)
-                for h, n in zip(*(x.tolist() for x in np.unique(hashes.of(words), return_counts=True))):
-                    kept[h] = kept.get(h, 0) + n
-            if len(kept) > 200_000:  # what is below the share so far may be forgotten: counts only balance the parts
-                kept = {h: n for h, n in kept.items() if n >= share * total / 2}
-        rows = [(h, n) for h, n in kept.items() if n >= share * total / 2]
-        yield pa.record_batch([pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()), pa.array([total if k == 0 else 0 for k in range(len(rows))], pa.int64())], ["h", "n", "total"])
-
-    counts = docs.select("text").mapInArrow(count, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    rows = counts.orderBy(F.desc("n"), "h").limit(int(2 / share)).collect()
-    total = counts.agg(F.sum("total")).first()[0] or 0 if rows else 0
-    return np.sort(np.array([r.h for r in rows if r.n >= share * total], np.int64).view(np.uint64))
+                kept.update(words)
+                if len(kept) > 400_000:  # what is below the share so far may be forgotten: counts only balance the parts
+                    kept = Counter({w: n for w, n in kept.items() if n >= share * total / 2})
+        rows = [(w, n) for w, n in kept.items() if n >= share * total / 2]
+        words, counts = [None, *(r[0] for r in rows)], [total, *(r[1] for r in rows)]  # the null word has the task's total
+        yield pa.record_batch([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc(F.col("word").isNull()), F.desc("n"), "word").limit(1 + int(2 / share)).collect()
+    total = rows[0].n if rows else 0
+    hashes = WordHashes()
+    return np.sort(np.array([hashes[bytes(r.word)] for r in rows[1:] if r.n >= share * total], np.uint64))
 
 
 def suffixes(texts: list[bytes], hashes: WordHashes, frequent: np.ndarray, n_parts: int, window: int):
