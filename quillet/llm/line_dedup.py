@@ -35,18 +35,25 @@ MIN_TOKENS = 3
 _FIELD = r"(?<![^ ])[^ 0-9@/]*+[0-9@/][^ ]*+"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens joined by one space, variable fields as <*>."""
-    spaced = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
-    return F.regexp_replace(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced), _FIELD, "<*>")
+def _spaced(line: Column) -> Column:
+    """The line's tokens joined by one space; lines that are so already are only looked through."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.regexp_replace(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), " +", " ")).otherwise(line)
+
+
+def _masked(tokens: Column) -> Column:
+    return F.regexp_replace(tokens, _FIELD, "<*>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_h, line_no, masked, n_tokens, leaf, key) of the lines that are long enough."""
+    """(doc_id, text_h, line_no, line, leaf) of the lines that are long enough; only the path is masked here."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    masked = lines.select("doc_id", "text_h", "line_no", _masked(F.col("line")).alias("masked"))
-    counted = masked.withColumn("n_tokens", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n_tokens") >= MIN_TOKENS)
-    return counted.withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", DEPTH))).withColumn("key", F.xxhash64("masked"))
+    spaced = lines.select("doc_id", "text_h", "line_no", _spaced(F.col("line")).alias("line"))
+    n_tokens = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    counted = spaced.withColumn("n_tokens", n_tokens).where(F.col("n_tokens") >= MIN_TOKENS)
+    return counted.select("doc_id", "text_h", "line_no", "line", F.xxhash64("n_tokens", _masked(F.substring_index("line", " ", DEPTH))).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -56,7 +63,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
         lines.groupBy("leaf", "text_h").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     )
     # the lines of leaves that can recur; from here on all is small beside the texts
-    inside = materialize(lines.join(busy, "leaf", "left_semi"), "busy_lines")
+    masked = lines.join(busy, "leaf", "left_semi").select("doc_id", "text_h", "line_no", "leaf", _masked(F.col("line")).alias("masked"))
+    inside = materialize(masked.withColumn("key", F.xxhash64("masked")), "busy_lines")
     distinct = inside.groupBy("leaf", "key").agg(F.first("masked").alias("masked"))
     tokens = materialize(distinct.select("leaf", "key", F.posexplode(F.split("masked", " ")).alias("at", "token")), "line_tokens")
     votes = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
