@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paging import by_page
+
 # How far a box reaches, in heights, and the largest cluster that may stand apart.
 COLUMN_REACH, ROW_REACH, APART_AT_MOST = 1.5, 1.0, 3
 
@@ -58,7 +60,7 @@ def reach_components(boxes: DataFrame) -> DataFrame:
                 return pd.DataFrame({"page_id": page.page_id, "box_id": page.box_id, "component": name})
             name = least
 
-    return boxes.groupBy("page_id").applyInPandas(group, "page_id long, box_id int, component int")
+    return by_page(boxes, group, "page_id long, box_id int, component int")
 
 
 def apart(components: DataFrame) -> DataFrame:
