@@ -20,10 +20,13 @@ table gives no rows; sources without words have target 0; extra columns are igno
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import only
+from quillet.session import materialize, ship_package
+
+from .text import binary_column, map_batches, only
 
 BLOCK_WORDS = 64
 MAX_REPEATS = 3
@@ -31,13 +34,18 @@ GOLDEN = 0.6180339887498949
 RANGES = 4096
 
 
-def n_words(text: Column) -> Column:
-    """Number of maximal runs outside \\x20 and \\x09-\\x0D; null: 0."""
-    spaces = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    # a word starts at each non-space that follows a space: count them without making an array
-    squeezed = F.regexp_replace(F.trim(spaces), " +", " ")
-    length = F.length(squeezed)
-    return F.coalesce(F.when(length == 0, 0).otherwise(length - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1), F.lit(0)).cast("long")
+def sized(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, size): size is the number of maximal runs outside \\x20 and \\x09-\\x0D, 0 for null."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes = [len((t or b"").split()) for t in binary_column(batch, "text")]
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+
+        return step
+
+    docs = only(documents, "doc_id", "source", "text").select(*[F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("source", "string"), ("text", "string"))])
+    return map_batches(docs, make, "doc_id long, source string, size long")
 
 
 def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -97,9 +105,8 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken and the place in its source's stream."""
-    docs = only(documents, "doc_id", "source", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")
-    )
+    ship_package(documents.sparkSession)
+    docs = materialize(sized(documents), "sizes")  # a few bytes a document: the texts are read once
     docs = docs.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("part", F.substring("place", 1, 3))
     sums = docs.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), max_repeats)

@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from quillet.llm.source_mix import GOLDEN, mix, n_words, schedule, targets
+from quillet.llm.source_mix import GOLDEN, mix, schedule, sized, targets
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,8 @@ def test_mix_contract(spark):
 
 def test_words(spark):
     texts = [None, "", "  ", "a", " a  b\t\n c\x0b\x0cd\r", "é x y", "\x00 z"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("i", n_words(F.col("t")).alias("n")).collect():
-        assert r.n == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.i] or ""))
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in sized(df).collect():
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or ""))
     empty = mix(spark.createDataFrame([], "doc_id long, text string, source string"))
     assert empty.collect() == []
