@@ -348,3 +348,73 @@ def redact_vocabulary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(words))  # one row
     pattern = F.concat(F.lit(r"\b(?:(?:"), F.col("alternatives"), F.lit(r")[ ]){2,}(?:"), F.col("alternatives"), F.lit(r")\b"))
     return docs.select("doc_id", F.regexp_count("text", pattern).cast("long").alias("runs"), F.md5(F.regexp_replace("text", pattern, F.lit("[redacted]"))).alias("redacted_md5"))
+
+
+@query
+def mark_fields(spark, sf_dir):
+    """Numbers printed as marks, some with bits flipped, decoded again."""
+    from quillet.functions import marks
+
+    lines = table(spark, sf_dir, "lineitem").select(F.pmod("l_partkey", F.lit(16)).cast("int").alias("number"), F.pmod("l_suppkey", F.lit(256)).cast("int").alias("noise")).distinct()
+    flips = F.col("noise").bitwiseAND(F.lit(0b00100010))
+    printed = (marks.reversed_bits(F.lit(marks.PROJECT_ID)) + marks.reversed_bits(marks.encode(F.col("number")).bitwiseXOR(F.lit(marks.NUMBER_MASK)).bitwiseXOR(flips)) * 256).cast("int")
+    found = lines.withColumn("field", printed).withColumn("x", marks.field(F.col("field")))
+    return found.select("number", "noise", "field", F.col("x.kind").alias("kind"), F.col("x.number").alias("decoded"))
+
+
+@query
+def page_axis(spark, sf_dir):
+    from quillet.operators import grid
+
+    return grid.page_axis(ad.boxes(spark, sf_dir))
+
+
+@query
+def word_splits(spark, sf_dir):
+    from quillet.operators import grid
+
+    return grid.split_words(ad.boxes(spark, sf_dir).select("page_id", F.col("box_id").alias("span_id"), "l", (F.col("l") + (F.col("r") - F.col("l")) / 8).alias("r"), (F.col("b") - F.col("t")).alias("h")), 1.1)
+
+
+@query
+def column_owners(spark, sf_dir):
+    from quillet.operators import grid
+
+    boxes = ad.boxes(spark, sf_dir)
+    return grid.assigned_column(boxes, grid.columns_of(boxes, 300.0))
+
+
+@query
+def exclusion_reasons(spark, sf_dir):
+    from quillet.operators import grid
+
+    return grid.exclusion_reasons(ad.boxes(spark, sf_dir), 130.0)
+
+
+@query
+def cell_rows(spark, sf_dir):
+    from quillet.operators import grid
+
+    return grid.cell_rows(ad.boxes(spark, sf_dir))
+
+
+@query
+def completed_rows(spark, sf_dir):
+    from quillet.operators import grid
+
+    return grid.completed_rows(ad.boxes(spark, sf_dir))
+
+
+@query
+def join_guards(spark, sf_dir):
+    from quillet.operators import grid
+
+    return grid.join_guard(ad.boxes(spark, sf_dir))
+
+
+@query
+def cheapest_classes(spark, sf_dir):
+    """Of each cell all symbols of the least cost."""
+    costs = coding.position_costs(coding.softmax(ad.cells(spark, sf_dir)))
+    least = costs.groupBy("word_no", "cell").agg(F.min("cost").alias("least"))
+    return costs.join(least, ["word_no", "cell"]).where("cost = least").select("word_no", "cell", "sym", "cost")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillet.functions.marks import ENCODED
 from quillet.sources.adapters import BOXES, CANDIDATES, CELLS, LABELS, PROGRESS, READS, VOCABULARY
 
 _NORMAL = "regexp_replace(lower(literal), '[^a-z]', '', 'g')"
@@ -63,6 +64,8 @@ rollup AS (SELECT attempt_id, region_id, arg_max(kind, seq) AS state, max(seq) A
 _SHARES = """
 shares AS (SELECT p_partkey AS row_id, share_no, (p_partkey * 5 % 29 + p_partkey * 3 % 29 * share_no + CASE WHEN share_no = 3 AND p_partkey % 10 = 0 THEN 1 ELSE 0 END) % 29 AS symbol FROM part, (SELECT unnest([1, 2, 3]) AS share_no))"""
 
+_ENCODED = "[" + ", ".join(map(str, ENCODED)) + "]"
+
 ORACLES = {
     "weighted_distances": f"WITH {READS}, {VOCABULARY}, {_DISTANCES} SELECT read, word, d FROM distances",
     "near_list": f"WITH {READS}, {VOCABULARY}, {_DISTANCES} SELECT read, word, d, d <= 3 AS near FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY d, word_id) AS k FROM distances) WHERE k = 1",
@@ -183,4 +186,35 @@ SELECT page_id, round(regr_slope(t, l), 4) AS slope, round(regr_intercept(t, l),
     "document_lines": f"""WITH {READS} SELECT page_id, string_agg(lpad(CAST(box_id + 1 AS VARCHAR), 2, ' ') || '. ' || rpad(upper(substr(literal, 1, 4)), 4, '-'), chr(10) ORDER BY box_id) AS document FROM reads WHERE literal <> '' GROUP BY page_id""",
     "identity_map": f"""WITH {LABELS} SELECT page_id, count(*) <> count(DISTINCT n) AS duplicate, max(n) > count(*) AS out_of_range, count(*) < max(n) AS incomplete FROM page_labels WHERE kind = 'exact' GROUP BY page_id""",
     "prefix_lookup": f"WITH {VOCABULARY} SELECT p.prefix, string_agg(word, ',' ORDER BY word) AS words FROM (SELECT DISTINCT substr(word, 1, 1) AS prefix FROM vocabulary) p JOIN vocabulary v ON starts_with(v.word, p.prefix) GROUP BY p.prefix",
+    "page_axis": f"WITH {BOXES} SELECT page_id, box_id, area, lies FROM (SELECT *, (r - l) * (b - t) AS area, r - l >= b - t AS lies, row_number() OVER (PARTITION BY page_id ORDER BY (r - l) * (b - t) DESC, box_id) AS k FROM boxes) WHERE k = 1",
+    "word_splits": f"""WITH {BOXES}, s AS (SELECT page_id, box_id, l, l + (r - l) / 8 AS r, b - t AS h FROM boxes),
+i AS (SELECT *, max(r) OVER (PARTITION BY page_id ORDER BY l, r, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+j AS (SELECT *, sum(CASE WHEN reach IS NULL OR l > reach THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY l, r, box_id) AS island FROM i),
+m AS (SELECT page_id, island, min(l) AS l, max(r) AS r, max(h) AS h, count(*) AS parts FROM j GROUP BY ALL),
+g AS (SELECT *, l - lag(r) OVER (PARTITION BY page_id ORDER BY island) AS gap FROM m),
+c AS (SELECT page_id, greatest(1.1 * median(gap), 0.35 * max(h)) AS cut FROM g GROUP BY page_id),
+w AS (SELECT g.*, sum(CASE WHEN gap IS NULL OR gap > cut THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY island) AS word_no FROM g JOIN c USING (page_id))
+SELECT page_id, CAST(word_no AS BIGINT) AS word_no, min(l) AS l, max(r) AS r, CAST(sum(parts) AS BIGINT) AS parts FROM w GROUP BY page_id, word_no""",
+    "column_owners": f"""WITH {BOXES}, f AS (SELECT page_id, CAST(floor(l / 300) AS BIGINT) AS column_no, min(l) AS low, max(r) AS widest FROM boxes GROUP BY ALL),
+c AS (SELECT page_id, column_no, low, greatest(coalesce(least(lead(low) OVER (PARTITION BY page_id ORDER BY column_no), widest), widest * 1.2), low) AS high, lead(low) OVER (PARTITION BY page_id ORDER BY column_no) AS nxt, widest FROM f),
+d AS (SELECT page_id, column_no, low, greatest(CASE WHEN nxt IS NULL THEN widest ELSE high END, low) AS high FROM c)
+SELECT b.page_id, b.box_id, arg_max(d.column_no, d.low) AS column_no FROM boxes b LEFT JOIN d ON b.page_id = d.page_id AND (b.l + b.r) / 2 >= d.low AND (b.l + b.r) / 2 < d.high GROUP BY ALL""",
+    "exclusion_reasons": f"""WITH {BOXES}, h AS (SELECT page_id, {_MEDIAN} AS h, min(l) AS first_l, count(*) AS n FROM boxes GROUP BY page_id)
+SELECT page_id, box_id, CASE WHEN r - first_l < 130 AND n > 1 THEN 'label_gutter' WHEN r - l < h THEN 'standalone_label' WHEN b - t > 1.25 * h THEN 'outside_rows' END AS reason FROM boxes JOIN h USING (page_id)""",
+    "cell_rows": f"""WITH {BOXES}, y AS (SELECT *, (t + b) / 2 AS y FROM boxes)
+SELECT page_id, box_id, (y + lag(y) OVER o) / 2 AS upper, (y + lead(y) OVER o) / 2 AS lower FROM y WINDOW o AS (PARTITION BY page_id ORDER BY y, box_id)""",
+    "completed_rows": f"""WITH {BOXES}, y AS (SELECT DISTINCT page_id, (t + b) / 2 AS y FROM boxes), s AS (SELECT *, y - lag(y) OVER (PARTITION BY page_id ORDER BY y) AS step FROM y),
+p AS (SELECT page_id, median(step) AS pitch, min(y) AS top, max(y) AS bottom FROM s GROUP BY page_id HAVING median(step) > 0)
+SELECT page_id, CAST(k AS INTEGER) AS row_no, top + k * pitch AS y FROM (SELECT *, unnest(range(0, CAST(round((bottom - top) / pitch) AS BIGINT) + 1)) AS k FROM p)""",
+    "join_guards": f"""WITH {BOXES}, n AS (SELECT *, (t + b) / 2 AS y, lead(box_id) OVER o AS nid, lead(l) OVER o AS nl, lead(r) OVER o AS nr, lead(t) OVER o AS nt, lead(b) OVER o AS nb FROM boxes WINDOW o AS (PARTITION BY page_id ORDER BY l, box_id))
+SELECT page_id, box_id AS left_id, nid AS right_id, CASE WHEN nt > y OR nb < y THEN 'row_structure' WHEN r - l < 100 OR nr - nl < 100 THEN 'label' WHEN nl - r > 2 * (b - t) THEN 'apart'
+  WHEN ceil(greatest(r, nr) - l) * ceil(greatest(b, nb) - least(t, nt)) > 30000 THEN 'budget' ELSE 'candidate' END AS reason FROM n WHERE nid IS NOT NULL""",
+    "cheapest_classes": f"""WITH {CELLS}, {_softmax('1.0')}, c AS (SELECT word_no, cell, CAST(sym AS INTEGER) AS sym, CAST(round(-ln((p + 0.001) / sum(p + 0.001) OVER (PARTITION BY word_no, cell)) * 1000) AS INTEGER) AS cost FROM dist)
+SELECT word_no, cell, sym, cost FROM c QUALIFY cost = min(cost) OVER (PARTITION BY word_no, cell)""",
+    "mark_fields": f"""WITH code AS (SELECT n AS number, {_ENCODED}[n + 1] AS code FROM range(16) r(n)), rev AS (SELECT b, list_sum(list_transform(range(8), lambda k: ((b >> k) & 1) << (7 - k))) AS r FROM range(256) t(b)),
+l AS (SELECT DISTINCT CAST(l_partkey % 16 AS INTEGER) AS number, CAST(l_suppkey % 256 AS INTEGER) AS noise FROM lineitem),
+sent AS (SELECT l.*, xor(xor(code, 6), noise & 34) AS byte FROM l JOIN code USING (number)),
+near AS (SELECT s.noise, s.number, min(c.number) AS decoded FROM sent s JOIN code c ON bit_count(xor(xor(s.byte, 6), c.code)) <= 1 GROUP BY ALL)
+SELECT s.number, s.noise, CAST(p.r + q.r * 256 AS INTEGER) AS field, CASE WHEN decoded IS NULL THEN 'damaged' ELSE 'number' END AS kind, CAST(decoded AS INTEGER) AS decoded
+FROM sent s JOIN rev q ON q.b = s.byte JOIN rev p ON p.b = 80 LEFT JOIN near n ON n.noise = s.noise AND n.number = s.number""",
 }

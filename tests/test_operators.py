@@ -113,3 +113,31 @@ def test_input_order_does_not_matter(spark):
     boxes = registry.ad.boxes(spark, SF)
     a = sorted(map(repr, layout.axis_groups(boxes).collect()))
     assert a == sorted(map(repr, layout.axis_groups(boxes.orderBy(F.desc("b"))).collect()))
+
+
+def test_marks_mend_one_error():
+    from quillet.functions import marks
+
+    for n in range(16):
+        assert marks.decoded(marks.encoded(n)) == n
+        for k in range(8):
+            assert marks.decoded(marks.encoded(n) ^ 1 << k) == n
+            for j in range(k):
+                assert marks.decoded(marks.encoded(n) ^ 1 << k ^ 1 << j) is None
+
+
+def test_geometry(spark):
+    import numpy as np
+
+    from quillet.functions import geometry
+
+    h = geometry.homography([(0, 0), (10, 0), (10, 10), (0, 10)], [(1, 1), (21, 3), (19, 22), (0, 20)])
+    row = spark.createDataFrame([(10.0, 0.0)], "x double, y double").select(geometry.mapped(F.col("x"), F.col("y"), h).alias("m")).first().m
+    assert np.allclose([row.x, row.y], [21, 3])
+    quad = lambda x, y: [(x, y), (x + 4.0, y), (x + 4.0, y + 4.0), (x, y + 4.0)]
+    df = spark.createDataFrame([(quad(0.0, 0.0), quad(3.0, 3.0)), (quad(0.0, 0.0), quad(4.0, 0.0))], "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    assert [r.m for r in df.select(geometry.quads_meet(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False]
+    got = df.select(geometry.inside_polygon(F.lit(1.0), F.lit(1.0), F.col("a")).alias("p"), geometry.inside_polygon(F.lit(9.0), F.lit(1.0), F.col("a")).alias("q")).first()
+    assert (got.p, got.q) == (True, False)
+    mixed = df.select(geometry.clockwise(F.reverse("a")).alias("c")).first().c
+    assert [(c.x, c.y) for c in mixed] == quad(0.0, 0.0)
