@@ -70,19 +70,23 @@ def unpack_documents(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
 
 
-def pack_hashes(hashes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, bytes]]]:
-    """The order (by part; hashes are sorted) and (part, n, width, blob) of each part's deltas."""
-    order = np.argsort(parts, kind="stable")
+def pack_sorted(h: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """(part, n, width, blob) of each part's deltas; hashes sorted by part, then by value."""
     out = []
-    if len(hashes):
-        h, p = hashes[order], parts[order]
+    if len(h):
         cuts = np.r_[0, np.flatnonzero(np.diff(p)) + 1, len(p)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             deltas = np.diff(h[a:b], prepend=np.uint64(0))
             width = max(1, (int(deltas.max()).bit_length() + 7) // 8)
             raw = deltas.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
             out.append((int(p[a]), b - a, width, np.ascontiguousarray(raw).tobytes()))
-    return order, out
+    return out
+
+
+def pack_hashes(hashes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, bytes]]]:
+    """The order (by part; hashes are sorted) and the packed parts."""
+    order = np.argsort(parts, kind="stable")
+    return order, pack_sorted(hashes[order], parts[order])
 
 
 def unpack_hashes(n: int, width: int, blob: bytes) -> np.ndarray:

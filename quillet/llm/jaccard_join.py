@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillet.session import materialize, ship_package
 
-from .blocks import ANSWERS, LAST, PART_HASHES, SETS, answers_in_order, pack_documents, pack_hashes, plan_blocks, runs_of, sets_table, unpack_documents, unpack_hashes
+from .blocks import ANSWERS, LAST, PART_HASHES, SETS, answers_in_order, pack_documents, pack_sorted, plan_blocks, runs_of, sets_table, unpack_documents, unpack_hashes
 from .graph import components, stars
 from .text import WordHashes, mix, only, window_hashes
 
@@ -67,6 +67,21 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, shingle: int) -> tuple[
     return np.concatenate(out) if out else np.empty(0, np.uint64), np.array(sizes, np.int64)
 
 
+def all_shingles(texts: list[bytes], hashes: WordHashes, shingle: int) -> np.ndarray:
+    """The shingles of all texts, in one array and not made distinct."""
+    words = [t.translate(_LOWER).split() for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    h = hashes.of([w for own in words for w in own])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))
+    long = window_hashes(h, shingle)
+    out = [long[left[: len(long)] >= shingle]]
+    ends = np.cumsum(sizes)
+    for e, n in zip(ends[sizes < shingle].tolist(), sizes[sizes < shingle].tolist()):
+        if n:
+            out.append(window_hashes(h[e - n : e], n) + np.uint64(n))
+    return np.concatenate(out)
+
+
 def needed(n, threshold: int):
     """The least overlap of a set of n elements with any set that links to it: ceil(t n)."""
     return -(-n * threshold // 100)
@@ -83,21 +98,16 @@ def document_sets(documents: DataFrame, shingle: int, threshold: int, block_byte
     n_parts = int(max(64, n_bytes // 6 // part_hashes))
     packed = pack_documents(docs, bounds)
 
-    def sketch(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A part, and a shorter hash that keeps the order inside the part."""
-        mixed = mix(distinct)
-        return mixed >> np.uint64(64 - SKETCH_BITS), ((mixed & np.uint64(0xFFFFFF)) % np.uint64(n_parts)).astype(np.int32)
-
-    def sketched(distinct: np.ndarray):
-        """Distinct sketches in the order they are sent, and each shingle's place among them."""
-        short, part = sketch(distinct)
-        return _unique_pairs(part, short)
+    def sketched(tokens: np.ndarray) -> np.ndarray:
+        """A part and a shorter hash of each shingle in one number, which sorts by both."""
+        mixed = mix(tokens)
+        return (mixed & np.uint64(0xFFFFFF)) % np.uint64(n_parts) << np.uint64(SKETCH_BITS) | mixed >> np.uint64(64 - SKETCH_BITS)
 
     def leaves(table: pa.Table) -> pa.Table:
         _, texts = unpack_documents(table["blob"].to_pylist())
-        tokens, _ = shingle_sets(texts, WordHashes(), shingle)
-        (part, short), _ = sketched(np.unique(tokens))
-        return sets_table(table["block"][0].as_py(), pack_hashes(short, part)[1])
+        keys = np.unique(sketched(all_shingles(texts, WordHashes(), shingle)))
+        part = (keys >> np.uint64(SKETCH_BITS)).astype(np.int32)
+        return sets_table(table["block"][0].as_py(), pack_sorted(keys & np.uint64((1 << SKETCH_BITS) - 1), part))
 
     def count(table: pa.Table) -> pa.Table:
         """For each block's hashes: how many blocks hold each (255: as many or more)."""
@@ -115,18 +125,22 @@ def document_sets(documents: DataFrame, shingle: int, threshold: int, block_byte
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = unpack_documents(table["blob"].to_pylist()) if table.num_rows else (np.empty(0, np.int64), [])
         tokens, sizes = shingle_sets(texts, WordHashes(), shingle)
-        distinct, place, local = np.unique(tokens, return_inverse=True, return_counts=True)
-        (part, short), at = sketched(distinct)
-        held = answers_in_order(answers, len(short), np.arange(len(short)), lambda a, n: np.frombuffer(pa.decompress(a, decompressed_size=n, codec="zstd", asbytes=True), np.uint8))
+        keys = sketched(tokens)
+        order = np.argsort(keys)
+        starts, run = runs_of(keys[order])
+        local = np.bincount(run, minlength=len(starts))
+        held = answers_in_order(answers, len(starts), np.arange(len(starts)), lambda a, n: np.frombuffer(pa.decompress(a, decompressed_size=n, codec="zstd", asbytes=True), np.uint8))
         # 0: one document has it; 1: documents of one block have it; then the number of blocks
-        weight = held[at].astype(np.int64) if len(distinct) else np.empty(0, np.int64)
-        weight = np.where(weight > 1, weight, np.where(local > 1, 1, 0))[place] if len(distinct) else weight
+        by_key = np.where(held > 1, held, local > 1).astype(np.uint8)
+        weight = np.empty(len(tokens), np.uint8)
+        weight[order] = by_key[run]
+        lonely = np.r_[0, np.cumsum(weight == 0)]
         digests, n_prefix, kept = [], [], []
         end = 0
         for i, n in enumerate(sizes.tolist()):
             own, w = tokens[end : end + n], weight[end : end + n]
+            alone = int(lonely[end + n] - lonely[end])
             end += n
-            alone = int((w == 0).sum())
             prefix = n - int(needed(n, threshold)) + 1 - alone if n else 0
             if prefix <= 0 or ids[i] == LAST or alone == n:
                 digests.append(None), n_prefix.append(0), kept.append(None)
@@ -143,17 +157,6 @@ def document_sets(documents: DataFrame, shingle: int, threshold: int, block_byte
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "doc_id long, n_shingles long, digest binary, n_prefix int, tokens binary")
 
 
-def _unique_pairs(part: np.ndarray, short: np.ndarray):
-    """Distinct (part, short) sorted by both, and each input's place among them."""
-    by_short = np.argsort(short, kind="stable")
-    order = by_short[np.argsort(part[by_short], kind="stable")]
-    p, s = part[order], short[order]
-    first = np.r_[True, (p[1:] != p[:-1]) | (s[1:] != s[:-1])] if len(p) else np.empty(0, bool)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(first) - 1
-    return (p[first], s[first]), place
-
-
 def _tokens(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
