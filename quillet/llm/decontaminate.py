@@ -6,9 +6,10 @@
    sends A'(A Omega) for its rows (a range finder with POWER power steps), and an orthonormal basis is
    made of the sum. Words outside the benchmark have no weight in any passage, so the basis is zero
    there and a document's other words only lengthen its vectors.
-3. Every window of every whole text (PASSAGE words, a quarter overlapping steps) is folded into that space;
-   its cosine with each passage is computed in blocks, over the window's own length in the space. Pairs of
-   CANDIDATE or more are candidates.
+3. Every window of every whole text (PASSAGE words, in steps of a quarter) is folded into that space;
+   its dot product with each passage's unit point, over the window's whole TF-IDF length, is compared
+   with CANDIDATE times the share of the passage that the space keeps. The weight of benchmark words
+   in a window bounds that product, so most windows are done after one sum.
 4. A candidate is checked by words: the longest common subsequence of the passage and the text around
    the window, over the passage's length. EXACT or more is contamination; between PARAPHRASE and
    EXACT the answer must be there too (the item's answer column, else the rarest words of its last
@@ -18,8 +19,8 @@ The benchmark is collected in blocks of BLOCK_ITEMS items, each a stated query s
 documents, so what a task holds is bounded whatever the benchmark's size.
 
 Defined results: null or empty texts are clean; a null doc_id keeps its row; repeated rows give
-repeated rows; null or empty items are ignored; items of fewer than MIN_ITEM_WORDS words must occur
-word for word; an empty benchmark leaves all documents clean; extra columns are ignored by the
+repeated rows; null or empty items are ignored; items of fewer than MIN_ITEM_WORDS words, or of frequent words
+only, must occur word for word, which a hash of every run of as many words finds; an empty benchmark leaves all documents clean; extra columns are ignored by the
 report and kept by remove().
 """
 
@@ -34,17 +35,19 @@ from pyspark.sql import functions as F
 
 from quillet.session import ship_package
 
-from .text import filter_rows, only
+from .text import WordHashes, filter_rows, only, window_hashes
 
 PASSAGE = 32
-RANK = 64
+RANK = 128
 OVERSAMPLING = 16
 POWER = 2
-CANDIDATE = 0.45
+CANDIDATE = 0.35
+#: A word in more than this share of all documents has no weight in the search (the word checks see all words).
+MAX_DF = 0.1
 EXACT = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.5
-MIN_ITEM_WORDS = 5
+MIN_ITEM_WORDS = 12
 BLOCK_ITEMS = 4000
 _STRIP = "\"'.,;:!?()[]{}<>*#$%&|-_"
 
@@ -85,24 +88,36 @@ class Benchmark:
             starts = [0] if len(words) <= PASSAGE else [*range(0, len(words) - PASSAGE, PASSAGE // 2), len(words) - PASSAGE]
             self.passages += [(p, s, min(len(words), s + PASSAGE)) for s in starts]
         self.idf = np.ones(len(self.vocabulary))
-        self.basis = self.points = None
+        self.other = 1.0
+        self.basis = self.points = self.limit = None
 
     def weigh(self, n_docs: int, df: np.ndarray) -> None:
-        self.idf = np.log((n_docs + 1) / (df + 1)) + 0.1
+        """Weights by document frequency; short items and those of frequent words alone leave the search for the exact path."""
+        self.idf = np.where(df > MAX_DF * n_docs, 0.0, np.log((n_docs + 1) / (df + 1)) + 0.1)
+        self.other = float(np.log(n_docs + 1) + 0.1)
+        weak = {p for p, (_, words, _, _) in enumerate(self.items) if len(words) < MIN_ITEM_WORDS or not any(self.idf[self.vocabulary[w]] for w in words)}
+        self.passages = [x for x in self.passages if x[0] not in weak and any(self.idf[self.vocabulary[w]] for w in self.items[x[0]][1][x[1] : x[2]])]
+        self.exact: dict[int, dict[int, list[int]]] = {}
+        hashes = WordHashes()
+        for p in weak:
+            words = [w.encode() for w in self.items[p][1]]
+            self.exact.setdefault(len(words), {}).setdefault(int(window_hashes(hashes.of(words), len(words))[0]), []).append(p)
 
     def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Unit TF-IDF rows of the passages: (columns, values)."""
         out = []
         for p, start, end in self.passages:
             ids, tf = np.unique([self.vocabulary[w] for w in self.items[p][1][start:end]], return_counts=True)
+            ids, tf = ids[self.idf[ids] > 0], tf[self.idf[ids] > 0]
             v = tf * self.idf[ids]
             out.append((ids, v / np.linalg.norm(v)))
         return out
 
     def place(self, basis: np.ndarray) -> None:
         self.basis = (basis * self.idf[:, None]).astype(np.float32)  # a word's contribution to a window's point
-        points = np.stack([v @ basis[ids] for ids, v in self.rows()])
-        self.points = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        points = np.stack([v @ basis[ids] for ids, v in self.rows()]) if self.passages else np.zeros((0, basis.shape[1]))
+        kept = np.maximum(np.linalg.norm(points, axis=1), 1e-9)  # the share of a unit row that the space keeps
+        self.points, self.limit = (points / kept[:, None]).astype(np.float32), kept.astype(np.float32)
 
     def answer(self, p: int) -> list[str]:
         """The answer's words: given, or the rarer half of the item's last sentence."""
@@ -188,57 +203,71 @@ def fit(documents: DataFrame, block: Benchmark) -> Benchmark:
     for r in pairs:
         df[r["word"]] = r["df"]
     block.weigh(documents.count(), df)
-    block.place(randomised_basis(documents.sparkSession, block.rows(), len(known)))
+    rows = block.rows()
+    block.place(randomised_basis(documents.sparkSession, rows, len(known)) if rows else np.zeros((len(known), 1)))
     return block
 
 
+class Ids(dict):
+    """word -> id: a benchmark word's place, one past them for other words, two past for words of marks only."""
+
+    def __init__(self, block: Benchmark):
+        super().__init__()
+        self.vocabulary = block.vocabulary
+
+    def __missing__(self, word: str) -> int:
+        w = normal(word)
+        found = self[word] = self.vocabulary.get(w, len(self.vocabulary)) if w else len(self.vocabulary) + 1
+        return found
+
+
 class Searcher:
     """Finds a block's items in texts; made once per task."""
 
     def __init__(self, block: Benchmark, candidate: float, exact: float, paraphrase: float):
         self.b, self.candidate, self.exact, self.paraphrase = block, candidate, exact, paraphrase
-        self.cache: dict[str, int] = {}
-        self.basis = np.vstack([block.basis, np.zeros((1, block.basis.shape[1]), np.float32)])  # last row: other words
-        # a window's point must hold enough weight to be some passage's: bounds the noise of a few common words
-        self.idf = np.append(block.idf, 0.0)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        cache, known, other = self.cache, self.b.vocabulary, len(self.b.vocabulary)
-        if len(cache) > 300_000:
-            cache.clear()
-        out = []
-        for w in words:
-            i = cache.get(w)
-            if i is None:
-                n = normal(w)
-                i = cache[w] = known.get(n, other) if n else -1
-            out.append(i)
-        return np.array(out, np.int64)
+        self.square = np.append(block.idf**2, [block.other**2, 0.0])  # by id: benchmark words, other words, none
+        self.least = candidate * float(block.limit.min()) if len(block.limit) else 1.0
+        self.cache = Ids(block)
+        self.hashes = WordHashes()
 
     def hits(self, text: str) -> list[tuple[int, float]]:
         """(item_id, share of the item's best passage that the text holds in order) of the items in the text."""
         raw = text.split()
         if not raw:
             return []
-        ids = self.ids(raw)
-        place = np.flatnonzero(ids >= 0)
+        found = self.exact_hits(raw) if self.b.exact else {}
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        ids = np.fromiter(map(self.cache.__getitem__, raw), np.int64, len(raw))
+        n_words = len(self.b.vocabulary)
+        place = np.flatnonzero(ids <= n_words)  # words of marks only are left out
         ids = ids[place]
         step = PASSAGE // 4
         n_steps = -(-len(ids) // step)
-        if not n_steps:
-            return []
+        if not n_steps or not len(self.b.points):
+            return sorted(found.items(), key=lambda x: (x[0] is None, x))
         # sums over steps of 8 words; a window is four steps in a row (fewer in short texts)
-        cuts = np.arange(0, len(ids), step)
-        sums = np.add.reduceat(self.basis[ids], cuts, axis=0)
-        size = min(4, n_steps)
-        total = np.cumsum(np.vstack([np.zeros((1, sums.shape[1]), np.float32), sums]), axis=0, dtype=np.float64)
-        windows = (total[size:] - total[:-size]).astype(np.float32)
-        length = np.linalg.norm(windows, axis=1, keepdims=True)
-        cosine = (windows / np.maximum(length, 1e-9)) @ self.b.points.T
-        found: dict[int, float] = {}
-        at, passage = np.nonzero(cosine >= self.candidate)
+        cuts, size = np.arange(0, len(ids), step), min(4, n_steps)
+        weight = self.square[ids]
+        own = np.where(ids < n_words, weight, 0.0)
+        windowed = lambda x: np.lib.stride_tricks.sliding_window_view(np.add.reduceat(x, cuts), size).sum(axis=1)
+        length2, own2 = windowed(weight), windowed(own)
+        maybe = np.flatnonzero(own2 >= self.least**2 * np.maximum(length2, 1e-9))
+        if not len(maybe):
+            return sorted(found.items(), key=lambda x: (x[0] is None, x))
+        # the steps of the windows that are left, and of their words those with weight
+        steps = np.unique((maybe[:, None] + np.arange(size)).ravel())
+        sums = np.zeros((len(steps), self.b.basis.shape[1]), np.float32)
+        words = np.flatnonzero((own > 0) & np.isin(np.arange(len(ids)) // step, steps))
+        np.add.at(sums, np.searchsorted(steps, words // step), self.b.basis[ids[words]])
+        first = np.searchsorted(steps, maybe)
+        windows = sum(sums[first + k] for k in range(size))
+        cosine = (windows / np.sqrt(np.maximum(length2[maybe], 1e-9))[:, None].astype(np.float32)) @ self.b.points.T
+        at, passage = np.nonzero(cosine >= self.candidate * self.b.limit)
+        at = maybe[at]
         if not len(at):
-            return []
+            return sorted(found.items(), key=lambda x: (x[0] is None, x))
         # neighbouring windows of a passage are checked once, over the text they span
         order = np.lexsort((at, passage))
         at, passage = at[order], passage[order]
@@ -251,10 +280,7 @@ class Searcher:
             low, high = max(0, (at[s] - 2) * step), (at[e] + size + 2) * step
             near = [normal(raw[k]) for k in place[low:high]]
             share = lcs_length(want, near) / len(want)
-            if len(words) < MIN_ITEM_WORDS:
-                joined = " ".join(near)
-                ok = f" {' '.join(words)} " in f" {joined} "
-            elif share >= self.exact:
+            if share >= self.exact:
                 ok = True
             elif share >= self.paraphrase:
                 answer, there = self.b.answer(p), set(near)
@@ -265,6 +291,19 @@ class Searcher:
                 found[item_id] = max(found.get(item_id, 0.0), share)
         return sorted(found.items(), key=lambda x: (x[0] is None, x))
 
+    def exact_hits(self, raw: list[str]) -> dict[int, float]:
+        """Items of the exact path that the text holds word for word."""
+        words = [w for w in map(normal, raw) if w]
+        h = self.hashes.of([w.encode() for w in words])
+        out = {}
+        for n, known in self.b.exact.items():
+            runs = window_hashes(h, n)
+            for k in np.flatnonzero(np.isin(runs, np.array(list(known), np.uint64))).tolist():
+                for p in known[int(runs[k])]:
+                    if words[k : k + n] == self.b.items[p][1]:
+                        out[self.b.items[p][0]] = 1.0
+        return out
+
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE, exact: float = EXACT, paraphrase: float = PARAPHRASE) -> DataFrame:
     """The documents' rows with item_ids (array), best_share and contaminated beside doc_id."""
