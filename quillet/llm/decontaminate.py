@@ -38,7 +38,7 @@ from quillet.session import ship_package
 from .text import WordHashes, filter_rows, only, window_hashes
 
 PASSAGE = 32
-RANK = 128
+RANK = 320
 OVERSAMPLING = 16
 POWER = 2
 CANDIDATE = 0.35
@@ -48,7 +48,7 @@ EXACT = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.5
 MIN_ITEM_WORDS = 12
-BLOCK_ITEMS = 4000
+BLOCK_ITEMS = 250
 _STRIP = "\"'.,;:!?()[]{}<>*#$%&|-_"
 
 
