@@ -14,6 +14,11 @@
    the window, over the passage's length. EXACT or more is contamination; between PARAPHRASE and
    EXACT the answer must be there too (the item's answer column, else the rarest words of its last
    sentence, ANSWER of them or more).
+5. The cosine's cut can lose a copy among words of great weight, so candidates are found by words too,
+   with no loss at any number of documents: a stretch that holds `need` of a passage's m words in order
+   holds at least k of its m - need + k rarest. Every two neighbouring blocks of BLOCK words, in which
+   any stretch of up to twice a passage's length lies, are counted so for every passage, and those with
+   k or more are checked as above, stretch by stretch. Rarity decides the cost alone, not the result.
 
 The benchmark is collected in blocks of BLOCK_ITEMS items, each a stated query set against all
 documents, so what a task holds is bounded whatever the benchmark's size.
@@ -26,6 +31,7 @@ report and kept by remove().
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -49,6 +55,10 @@ PARAPHRASE = 0.6
 ANSWER = 0.5
 MIN_ITEM_WORDS = 12
 BLOCK_ITEMS = 250
+#: Words of a text's block in the search by words: a stretch of 2 * PASSAGE words lies in two neighbouring ones.
+BLOCK = 2 * PASSAGE
+#: Blocks that are counted at once.
+BLOCKS = 256
 _STRIP = "\"'.,;:!?()[]{}<>*#$%&|-_"
 
 
@@ -88,6 +98,7 @@ class Benchmark:
             starts = [0] if len(words) <= PASSAGE else [*range(0, len(words) - PASSAGE, PASSAGE // 2), len(words) - PASSAGE]
             self.passages += [(p, s, min(len(words), s + PASSAGE)) for s in starts]
         self.idf = np.ones(len(self.vocabulary))
+        self.df = np.zeros(len(self.vocabulary))
         self.other = 1.0
         self.basis = self.points = self.limit = None
 
@@ -95,6 +106,7 @@ class Benchmark:
         """Weights by document frequency; short items and those of frequent words alone leave the search for the exact path."""
         self.idf = np.where(df > MAX_DF * n_docs, 0.0, np.log((n_docs + 1) / (df + 1)) + 0.1)
         self.other = float(np.log(n_docs + 1) + 0.1)
+        self.df = df
         weak = {p for p, (_, words, _, _) in enumerate(self.items) if len(words) < MIN_ITEM_WORDS or not any(self.idf[self.vocabulary[w]] for w in words)}
         self.passages = [x for x in self.passages if x[0] not in weak and any(self.idf[self.vocabulary[w]] for w in self.items[x[0]][1][x[1] : x[2]])]
         self.exact: dict[int, dict[int, list[int]]] = {}
@@ -180,21 +192,15 @@ def fit(documents: DataFrame, block: Benchmark) -> Benchmark:
     known = block.vocabulary
 
     def count(batches):
-        cache: dict[str, int] = {}
-        df, n = np.zeros(len(known), np.int64), 0
+        cache = Ids(block)
+        df, n = np.zeros(len(known) + 2, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                ids = set()
-                for w in set((text or "").split()):
-                    i = cache.get(w)
-                    if i is None:
-                        if len(cache) > 300_000:
-                            cache.clear()
-                        i = cache[w] = known.get(normal(w), -1)
-                    ids.add(i)
-                ids.discard(-1)
-                df[list(ids)] += 1
+                if len(cache) > 300_000:
+                    cache.clear()
+                df[list(set(map(cache.__getitem__, set((text or "").split()))))] += 1
+        df = df[: len(known)]  # without other words and those of marks only
         yield pa.record_batch([pa.array([n], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "df"])
 
     counts = only(documents, "text").mapInArrow(count, "n long, df array<long>")
@@ -230,6 +236,74 @@ class Searcher:
         self.least = candidate * float(block.limit.min()) if len(block.limit) else 1.0
         self.cache = Ids(block)
         self.hashes = WordHashes()
+        self.index()
+
+    def index(self) -> None:
+        """Postings of each passage's rarest words, of which a copy holds `atleast` or more, and the words' places as bits."""
+        self.masks, need, atleast, entries = [], [], [], []
+        for p, (item, start, end) in enumerate(self.b.passages):
+            ids = [self.b.vocabulary[w] for w in self.b.items[item][1][start:end]]
+            masks: dict[int, int] = {}
+            for i, w in enumerate(ids):
+                masks[w] = masks.get(w, 0) | 1 << i
+            self.masks.append(masks)
+            need.append(max(1, math.ceil(min(self.exact, self.paraphrase) * len(ids) - 1e-9)))
+            atleast.append(max(1, need[-1] // 4))
+            rarest = sorted(ids, key=lambda w: (self.b.df[w], w))[: len(ids) - need[-1] + atleast[-1]]
+            entries += [(w, p, rarest.count(w)) for w in set(rarest)]
+        self.need, self.atleast = need, np.array(atleast)
+        entries.sort()
+        words, self.of, self.times = (np.array(x, np.int64) for x in (zip(*entries) if entries else ((), (), ())))
+        self.n_of = np.bincount(words, minlength=len(self.b.vocabulary) + 2)  # nothing for other words
+        self.first_of = np.cumsum(self.n_of) - self.n_of
+
+    def overlaps(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, block) where this block and the next hold enough of the passage's rarest words."""
+        out, n_passages = [], len(self.masks)
+        for low in range(0, max(1, -(-len(ids) // BLOCK) - 1), BLOCKS):
+            part = ids[low * BLOCK : (low + BLOCKS + 1) * BLOCK]
+            n_blocks, width = -(-len(part) // BLOCK), len(self.n_of)
+            used = np.flatnonzero(self.n_of[part])
+            block, word = np.divmod(np.unique(used // BLOCK * width + part[used]), width)
+            n = self.n_of[word]
+            at = np.arange(n.sum()) + np.repeat(self.first_of[word] - np.cumsum(n) + n, n)
+            held = np.bincount(np.repeat(block, n) * n_passages + self.of[at], self.times[at], n_blocks * n_passages).reshape(n_blocks, n_passages)
+            if n_blocks > 1:
+                held = held[:-1] + held[1:]
+            found, passage = np.nonzero(held >= self.atleast)
+            out += zip(passage.tolist(), (found + low).tolist())
+        return out
+
+    def ordered(self, passage: int, ids: list[int]) -> int:
+        """Longest common subsequence of the passage and the ids."""
+        masks = self.masks[passage]
+        full = row = (1 << sum(m.bit_count() for m in masks.values())) - 1
+        for w in ids:
+            m = masks.get(w)
+            if m is not None:
+                u = row & m
+                row = (row + u | row - u) & full
+        return full.bit_length() - row.bit_count()
+
+    def word_hits(self, raw: list[str], place: np.ndarray, ids: np.ndarray, found: dict[int, float]) -> None:
+        """Adds the items whose passages a stretch of the text, of up to twice their length, passes the checks for."""
+        for passage, block in self.overlaps(ids):
+            p, a, z = self.b.passages[passage]
+            item_id, low = self.b.items[p][0], block * BLOCK
+            near, best = ids[low : low + 2 * BLOCK].tolist(), found.get(item_id, 0.0)
+            # no stretch in here can do more than all of it
+            most = self.ordered(passage, near)
+            if most < self.need[passage] or most <= best * (z - a):
+                continue
+            for i in [i for i, w in enumerate(near) if w in self.masks[passage]]:
+                share = self.ordered(passage, near[i : i + 2 * (z - a)]) / (z - a)
+                if share <= best or not (share >= self.exact or share >= self.paraphrase):
+                    continue
+                if share < self.exact:
+                    answer, there = self.b.answer(p), {normal(raw[k]) for k in place[low + i : low + i + 2 * (z - a)]}
+                    if sum(w in there for w in answer) < ANSWER * len(answer):
+                        continue
+                best = found[item_id] = share
 
     def hits(self, text: str) -> list[tuple[int, float]]:
         """(item_id, share of the item's best passage that the text holds in order) of the items in the text."""
@@ -243,6 +317,8 @@ class Searcher:
         n_words = len(self.b.vocabulary)
         place = np.flatnonzero(ids <= n_words)  # words of marks only are left out
         ids = ids[place]
+        if len(ids) and self.masks:
+            self.word_hits(raw, place, ids, found)
         step = PASSAGE // 4
         n_steps = -(-len(ids) // step)
         if not n_steps or not len(self.b.points):
@@ -251,8 +327,9 @@ class Searcher:
         cuts, size = np.arange(0, len(ids), step), min(4, n_steps)
         weight = self.square[ids]
         own = np.where(ids < n_words, weight, 0.0)
-        windowed = lambda x: np.lib.stride_tricks.sliding_window_view(np.add.reduceat(x, cuts), size).sum(axis=1)
-        length2, own2 = windowed(weight), windowed(own)
+        sums_of = lambda x: np.add.reduceat(x, cuts)
+        windowed = lambda x: sum(x[k : len(x) - size + 1 + k] for k in range(size))
+        length2, own2 = windowed(sums_of(weight)), windowed(sums_of(own))
         maybe = np.flatnonzero(own2 >= self.least**2 * np.maximum(length2, 1e-9))
         if not len(maybe):
             return sorted(found.items(), key=lambda x: (x[0] is None, x))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quillet.llm.decontaminate import Benchmark, find_leaks, lcs_length, randomised_basis, remove, words_of
+from quillet.llm.decontaminate import CANDIDATE, EXACT, PARAPHRASE, Benchmark, Searcher, find_leaks, lcs_length, randomised_basis, remove, words_of
 
 
 def plain_lcs(a, b):
@@ -67,3 +67,32 @@ def test_long_items_have_overlapping_passages():
     for _, s, e in b.passages:
         covered |= set(range(s, e))
     assert covered == set(range(100)) and words_of("a, b. --") == ["a", "b"]
+
+
+def searcher(items, n_docs, df):
+    """A searcher with a whole basis, as if `df(word)` of n_docs documents had the word."""
+    b = Benchmark([(k, t, None) for k, t in items])
+    b.weigh(n_docs, np.array([df(w) for w in b.vocabulary], float))
+    b.place(np.eye(len(b.vocabulary)))
+    return Searcher(b, CANDIDATE, EXACT, PARAPHRASE)
+
+
+def test_every_copy_is_a_candidate_at_any_number_of_documents():
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghiklmnoprst") for _ in range(5))
+    common = [word() for _ in range(40)]
+    items = [(k, " ".join(word() if draw.random() < 0.3 else draw.choice(common) for _ in range(draw.randrange(15, 60)))) for k in range(20)]
+    for n_docs in (1_000, 10**9):
+        s = searcher(items, n_docs, lambda w: n_docs * (0.05 if w in common else 0.002))
+        for k, text in items:
+            want = text.split()
+            body = [word() for _ in range(draw.randrange(600))]
+            at = draw.randrange(len(body) + 1)
+            # every seventh word is another: six in seven or more stay in order
+            copy = [word() if i % 7 == 3 else w for i, w in enumerate(want)]
+            found = dict(s.hits(" ".join(body[:at] + copy + body[at:])))
+            assert found.get(k, 0) >= 0.8, (n_docs, k)
+        # more blocks than are counted at once, a copy across the seam
+        body = [word() for _ in range(64 * 600)]
+        body[64 * 256 - 5 : 64 * 256 - 5] = items[0][1].split()
+        assert dict(s.hits(" ".join(body))).get(0) == 1.0
