@@ -1,4 +1,4 @@
-"""Embedding near-dedup: sorted projection passes.
+"""Embedding near-dedup: sorted projection passes, and an exact cover of each label.
 
 Each pass hashes a vector to the signs of BITS random projections and orders the vectors of a label
 by these bits. Every vector is compared, in double precision, with the WINDOW vectors after it in
@@ -7,10 +7,13 @@ passes share one range-partitioned sort by (pass, label, bits, id); the few rows
 partitions are sorted and compared once more, so windows cross partitions. Equal vectors enter
 once, as a class with a count.
 
-The passes give the components. A vector's number of links is then counted exactly inside its
-component by matrix products over tiles of at most TILE classes: a large component is spread over
-pairs of tiles, whose counts, not pairs, are summed. Windows bound the candidates only inside a
-pass; PASSES orders make up for it, and recall is tested against brute force.
+Windows bound the candidates of a pass, so a label with many vectors, or with vectors close together,
+has pairs that no pass brings near each other. Therefore every pair of classes of a label is compared
+too, by matrix products over pairs of tiles: links and exact link counts do not depend on PASSES and
+WINDOW. A task holds two tiles and sends on at most one link and one count for each of their classes.
+The work of a label grows with the square of its classes. Up to WIDE tiles have TILE classes, so that
+small labels spread over tasks; larger labels have tiles of up to TILE_BYTES, which bounds the copies
+of a vector.
 
 Defined results: vectors that are null, zero, of no components or with null or non-finite
 components, and those with a null label or null vec_id, link with nothing: n_links 0, component_id
@@ -36,6 +39,11 @@ PASSES = 20
 WINDOW = 20
 BITS = 48
 TILE = 1024
+#: Tiles of a label before they grow beyond TILE classes, and the bytes of vectors they grow to.
+WIDE = 8
+TILE_BYTES = 8 << 20
+#: Rows of a tile that are multiplied at once.
+STRIP = 256
 SEED = 20
 
 
@@ -170,45 +178,75 @@ def links(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, thresh
     return out
 
 
-def _counted(members: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """(id, n_links) of classes inside their components; members: (component, id, n, dim, vec)."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    tiles = F.ceil(F.col("m") / tile).cast("int")
+def joined(hit: np.ndarray, x: np.ndarray, y: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """group (by place, the least place in it) after the hits between the places x (rows) and y (columns)."""
+    while True:
+        new = hit & (group[x][:, None] != group[y])
+        rows, columns = np.flatnonzero(new.any(axis=1)), np.flatnonzero(new.any(axis=0))
+        if not len(rows):
+            return group
+        # one link of each row and column at a time: the groups with links at least halve
+        a = group[np.r_[x[rows], x[new[:, columns].argmax(axis=0)]]]
+        b = group[np.r_[y[new[rows].argmax(axis=1)], y[columns]]]
+        moved, least = stars(a, b)
+        to = np.arange(len(group))
+        to[moved] = least
+        group = to[group]
+
+
+def _covered(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Every pair of a label compared: (id, links, other), a count of links (other null) or a link (links null)."""
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("m"))
+    most = F.greatest(F.lit(WIDE), F.ceil(F.col("m") * F.col("dim") * 8 / TILE_BYTES))
+    tiles = F.least(F.ceil(F.col("m") / tile), most).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    spread = members.join(sizes, "component").withColumn("tiles", tiles).withColumn("own", own)
+    spread = classes.join(sizes, ["label", "dim"]).withColumn("tiles", tiles).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    n_groups = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_groups = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = spread.withColumn("other", other).select(
-        "component", "id", "n", "dim", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        # components of one tile share groups, larger ones have a group for each pair of tiles
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(n_groups))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))).alias("at"),
+        F.xxhash64("label", "dim").alias("part"), "label", "id", "n", "dim", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        # labels of one tile share groups, larger ones have a group for each pair of tiles
+        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("label", "dim"), F.lit(n_groups))).otherwise(F.xxhash64("label", "dim", F.least("own", "other"), F.greatest("own", "other"))).alias("at"),
         (F.col("tiles") == 1).alias("small"),
     )
 
-    def count(table: pa.Table) -> pa.Table:
-        d = {c: table[c].to_numpy(zero_copy_only=False) for c in ("component", "id", "n", "dim", "own", "i", "j")}
+    def compare(table: pa.Table) -> pa.Table:
+        d = {c: table[c].to_numpy(zero_copy_only=False) for c in ("part", "id", "n", "dim", "own", "i", "j")}
+        names = table["label"].to_pylist()
+        d["label"] = np.unique(np.array(names, object), return_inverse=True)[1]  # equal hashes are told apart
         blobs = table["vec"].to_pylist()
-        order = np.lexsort((d["id"], d["own"], d["j"], d["i"], d["component"]))
-        key = np.stack([d[c][order] for c in ("component", "i", "j")])
+        keys = ("part", "label", "dim", "i", "j")
+        order = np.lexsort((d["id"], d["own"], *(d[c] for c in reversed(keys))))
+        key = np.stack([d[c][order] for c in keys])
         cuts = np.r_[0, np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1, len(order)]
-        ids, counts = [], []
+        ids, counts, a, b = [], [], [], []
         for start, end in zip(cuts[:-1], cuts[1:]):
             rows = order[start:end]
             x = unit([blobs[r] for r in rows], int(d["dim"][rows[0]]))
-            n, own = d["n"][rows].astype(float), d["own"][rows]
+            n, own, id_ = d["n"][rows].astype(float), d["own"][rows], d["id"][rows]
             i, j = d["i"][rows[0]], d["j"][rows[0]]
-            left, right = own == i, own == j
-            hit = (x[left] @ x[right].T) >= threshold
-            if i == j:
-                np.fill_diagonal(hit, True)  # copies of the class itself
-            ids.append(d["id"][rows[left]])
-            counts.append(hit @ n[right])
-            if i != j:
-                ids.append(d["id"][rows[right]])
-                counts.append(hit.T @ n[left])
-        return pa.table({"id": pa.array(np.concatenate(ids)), "links": pa.array(np.concatenate(counts).astype(np.int64))})
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            columns = x[right].T
+            group, links = np.arange(len(rows)), np.zeros(len(rows))
+            for low in range(0, len(left), STRIP):
+                strip = left[low : low + STRIP]
+                hit = x[strip] @ columns >= threshold
+                if i == j:
+                    hit[np.arange(len(strip)), low + np.arange(len(strip))] = True  # copies of the class itself
+                links[strip] += hit @ n[right]
+                if i != j:
+                    links[right] += n[strip] @ hit
+                group = joined(hit, strip, right, group)
+            moved = np.flatnonzero(group != np.arange(len(rows)))
+            ids.append(id_)
+            counts.append(links)
+            a.append(id_[moved])
+            b.append(id_[group[moved]])
+        ids, a, b = np.concatenate(ids), np.concatenate(a), np.concatenate(b)
+        counts = pa.array(np.concatenate(counts).astype(np.int64))
+        return pa.table({"id": pa.array(np.r_[ids, a]), "links": pa.concat_arrays([counts, pa.nulls(len(a), pa.int64())]), "other": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(b)])})
 
-    return rows.groupBy("small", "at").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return rows.groupBy("small", "at").applyInArrow(compare, "id long, links long, other long")
 
 
 def dedup(embeddings: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -216,11 +254,12 @@ def dedup(embeddings: DataFrame, passes: int = PASSES, window: int = WINDOW, thr
     ship_package(embeddings.sparkSession)
     rows = materialize(_prepared(embeddings), "vectors")
     classes = materialize(rows.where("vec IS NOT NULL").groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    found = components(links(classes, passes, window, threshold), "vector_links")
-    joined = classes.join(found, classes["id"] == found["node"], "left").drop("node")
-    together = joined.where("component IS NOT NULL")
-    counts = _counted(together.select("component", "id", "n", "dim", "vec"), threshold, tile)
-    summed = joined.join(counts, "id", "left").select(
+    covered = materialize(_covered(classes, threshold, tile), "vector_cover")
+    near = links(classes, passes, window, threshold).unionByName(covered.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    found = components(near, "vector_links")
+    placed = classes.join(found, classes["id"] == found["node"], "left").drop("node")
+    counts = covered.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+    summed = placed.join(counts, "id", "left").select(
         "label", "dim", "vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", "n") - 1).alias("n_links")
     )
     plain = rows.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -41,6 +41,25 @@ def test_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out if r.vec_id is not None)
 
 
+def test_close_vectors_of_one_label(spark):
+    """Vectors of mean cosine 0.85 in one label, where no pass brings every pair near each other."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.85) * unit(rng.standard_normal(64)) + np.sqrt(0.15) * unit(rng.standard_normal((5000, 64))))
+    x[:300] = unit(x[300:600] + 0.3 * unit(rng.standard_normal((300, 64))))
+    hit = x @ x.T >= 0.93
+    n_links = hit.sum(axis=1) - 1
+    least = np.arange(len(x))
+    while True:
+        new = np.where(hit, least, len(x)).min(axis=1)
+        if (new == least).all():
+            break
+        least = new
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in dedup(df).collect())
+    assert n_links.max() > 0 and out == list(zip(range(len(x)), n_links.tolist(), least.tolist()))
+
+
 def test_empty(spark):
     assert dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
