@@ -24,8 +24,10 @@ The benchmark is collected in blocks of BLOCK_ITEMS items, each a stated query s
 documents, so what a task holds is bounded whatever the benchmark's size.
 
 Defined results: null or empty texts are clean; a null doc_id keeps its row; repeated rows give
-repeated rows; null or empty items are ignored; items of fewer than MIN_ITEM_WORDS words, or of frequent words
-only, must occur word for word, which a hash of every run of as many words finds; an empty benchmark leaves all documents clean; extra columns are ignored by the
+repeated rows; null or empty items are ignored; items of fewer than MIN_ITEM_WORDS words and passages of
+frequent words only have no point in the space and are found by words (step 5), under the same checks; items
+of fewer than SHORT words must occur word for word, as a few of their words in order are no evidence, which a
+hash of every run of as many words finds; an empty benchmark leaves all documents clean; extra columns are ignored by the
 report and kept by remove().
 """
 
@@ -53,7 +55,9 @@ MAX_DF = 0.1
 EXACT = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.5
+#: Items with fewer words are left to the search by words, those with fewer than SHORT to the exact path.
 MIN_ITEM_WORDS = 12
+SHORT = 5
 BLOCK_ITEMS = 250
 #: Words of a text's block in the search by words: a stretch of 2 * PASSAGE words lies in two neighbouring ones.
 BLOCK = 2 * PASSAGE
@@ -99,19 +103,22 @@ class Benchmark:
             self.passages += [(p, s, min(len(words), s + PASSAGE)) for s in starts]
         self.idf = np.ones(len(self.vocabulary))
         self.df = np.zeros(len(self.vocabulary))
+        self.by_words = self.passages
         self.other = 1.0
         self.basis = self.points = self.limit = None
 
     def weigh(self, n_docs: int, df: np.ndarray) -> None:
-        """Weights by document frequency; short items and those of frequent words alone leave the search for the exact path."""
+        """Weights by document frequency; passages without weight and those of short items are left to the search by words."""
         self.idf = np.where(df > MAX_DF * n_docs, 0.0, np.log((n_docs + 1) / (df + 1)) + 0.1)
         self.other = float(np.log(n_docs + 1) + 0.1)
         self.df = df
-        weak = {p for p, (_, words, _, _) in enumerate(self.items) if len(words) < MIN_ITEM_WORDS or not any(self.idf[self.vocabulary[w]] for w in words)}
-        self.passages = [x for x in self.passages if x[0] not in weak and any(self.idf[self.vocabulary[w]] for w in self.items[x[0]][1][x[1] : x[2]])]
+        long = lambda n: {p for p, x in enumerate(self.items) if len(x[1]) >= n}
+        by_words, in_space = long(SHORT), long(MIN_ITEM_WORDS)
+        self.by_words = [x for x in self.passages if x[0] in by_words]
+        self.passages = [x for x in self.by_words if x[0] in in_space and any(self.idf[self.vocabulary[w]] for w in self.items[x[0]][1][x[1] : x[2]])]
         self.exact: dict[int, dict[int, list[int]]] = {}
         hashes = WordHashes()
-        for p in weak:
+        for p in sorted(set(range(len(self.items))) - by_words):
             words = [w.encode() for w in self.items[p][1]]
             self.exact.setdefault(len(words), {}).setdefault(int(window_hashes(hashes.of(words), len(words))[0]), []).append(p)
 
@@ -137,7 +144,7 @@ class Benchmark:
         if given is not None:
             return given
         last = [s for s in re.split(r"[.!?]\s+|\n", text) if words_of(s)][-1]
-        own = sorted(set(words_of(last)), key=lambda w: (-self.idf[self.vocabulary[w]], w))
+        own = sorted(set(words_of(last)), key=lambda w: (self.df[self.vocabulary[w]], w))
         return own[: max(1, (len(own) + 1) // 2)]
 
 
@@ -241,7 +248,7 @@ class Searcher:
     def index(self) -> None:
         """Postings of each passage's rarest words, of which a copy holds `atleast` or more, and the words' places as bits."""
         self.masks, need, atleast, entries = [], [], [], []
-        for p, (item, start, end) in enumerate(self.b.passages):
+        for p, (item, start, end) in enumerate(self.b.by_words):
             ids = [self.b.vocabulary[w] for w in self.b.items[item][1][start:end]]
             masks: dict[int, int] = {}
             for i, w in enumerate(ids):
@@ -288,7 +295,7 @@ class Searcher:
     def word_hits(self, raw: list[str], place: np.ndarray, ids: np.ndarray, found: dict[int, float]) -> None:
         """Adds the items whose passages a stretch of the text, of up to twice their length, passes the checks for."""
         for passage, block in self.overlaps(ids):
-            p, a, z = self.b.passages[passage]
+            p, a, z = self.b.by_words[passage]
             item_id, low = self.b.items[p][0], block * BLOCK
             near, best = ids[low : low + 2 * BLOCK].tolist(), found.get(item_id, 0.0)
             # no stretch in here can do more than all of it

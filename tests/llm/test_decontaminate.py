@@ -96,3 +96,26 @@ def test_every_copy_is_a_candidate_at_any_number_of_documents():
         body = [word() for _ in range(64 * 600)]
         body[64 * 256 - 5 : 64 * 256 - 5] = items[0][1].split()
         assert dict(s.hits(" ".join(body))).get(0) == 1.0
+
+
+def test_items_of_words_that_a_group_of_copies_makes_frequent():
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghiklmnoprst") for _ in range(5))
+    first, second = ([word() for _ in range(n)] for n in (20, 64))
+    # a third of all documents hold the first item and the second one's first passage
+    often = {*first, *second[:32]}
+    s = searcher([(1, " ".join(first)), (2, " ".join(second))], 1000, lambda w: 330 if w in often else 2)
+    changed = lambda words: [word() if i % 7 == 3 else w for i, w in enumerate(words)]
+    body = [word() for _ in range(100)]
+    assert dict(s.hits(" ".join(body[:40] + changed(first) + body[40:]))).keys() == {1}
+    assert dict(s.hits(" ".join(body[:40] + changed(second[:32]) + body[40:]))).keys() == {2}
+    assert s.hits(" ".join(body + first[:8] + body)) == []
+
+
+def test_short_items_with_a_word_changed():
+    items = [(1, "which river runs past bremen town"), (2, "seven small words stand right here in one row"), (3, "two words")]
+    s = searcher(items, 1000, lambda w: 5)
+    assert [k for k, _ in s.hits("so which river runs past old town then")] == [1]
+    assert [k for k, _ in s.hits("seven small words stand left here in one long row")] == [2]
+    assert [k for k, _ in s.hits("just two words")] == [3]
+    assert s.hits("two other words, which river, seven words in one town; past here small") == []
