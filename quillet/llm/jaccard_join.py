@@ -315,6 +315,25 @@ def join(documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that have the least id of their component (null ids stay)."""
-    groups = join(documents, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("later_id")).distinct()
-    return documents.join(groups, documents["doc_id"].cast("long") == groups["later_id"], "left_anti")
+    """The documents, with all their columns: one row of each component, with its least id.
+
+    A row of null id takes part with a hash of its text in place of an id, above other ids, so it stays only
+    where no copy has an id. Of several rows with a component's least id the one of least hash stays. Rows
+    without words link with nothing and stay.
+    """
+    text = documents["text"].cast("string")
+    unnamed = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
+    named = F.coalesce(documents["doc_id"].cast("long"), unnamed)
+    worded = F.coalesce(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) != "", F.lit(False))
+    order = F.struct(F.xxhash64(text), F.xxhash64(*[F.to_json(F.struct(documents[c])) for c in documents.columns if c != "text"]))
+    # columns of the input may have any names: they travel in one struct
+    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), named.alias("id"), worded.alias("worded"), order.alias("order"))
+    ids = documents.select(named.alias("doc_id"), text.alias("text"), worded.alias("worded"))
+    later = join(ids.select("doc_id", "text"), **options).where("component_id <> doc_id").select(F.col("doc_id").alias("id"), F.lit(True).alias("later"))
+    twice = ids.where("worded").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.lit(False).alias("later"))
+    marks = materialize(later.unionByName(twice).groupBy("id").agg(F.max("later").alias("later")), "later_ids")
+    alone = rows.join(marks, (rows["id"] == marks["id"]) & rows["worded"], "left_anti").select("row")
+    # rows of one id are reduced before they are shuffled, so an id that many rows have is one row a task
+    one = rows.where("worded").join(marks.where("NOT later"), "id", "left_semi").groupBy("id").agg(F.min_by("row", "order").alias("row")).select("row")
+    out = alone.unionByName(one) if marks.where("NOT later").head(1) else alone
+    return out.select(*[F.col("row")[c].alias(c) for c in documents.columns])

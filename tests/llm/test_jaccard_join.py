@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from quillet.llm.jaccard_join import join
+from quillet.llm.jaccard_join import join, keep_one
 
 
 def brute(rows, threshold=75, shingle=5):
@@ -49,3 +49,14 @@ def test_against_brute_force(spark, seed):
 
 def test_empty(spark):
     assert join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (3, text(3)), (3, text(3) + " more"), (None, text(5)), (None, text(5)), (None, text(5) + " more"), (None, text(3)), (7, text(7)), (8, ""), (8, ""), (None, None), (2, " ")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((-1 if i is None else i, (t or "").split(" ")[0]) for i, t in out) == sorted([(1, "w1x0"), (3, "w3x0"), (-1, "w5x0"), (7, "w7x0"), (8, ""), (8, ""), (-1, ""), (2, "")])
+    assert sorted(map(str, out)) == sorted(map(str, ((r.doc_id, r.text) for r in keep_one(df.repartition(3)).collect())))
