@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillet.session import ship_package
 
-from .blocks import ANSWERS, LAST, PART_HASHES, SETS, answers_in_order, pack_documents, pack_hashes, plan_blocks, runs_of, sets_table, unpack_documents, unpack_hashes
+from .blocks import ANSWERS, LAST, PART_HASHES, SETS, SUBS, answers_in_order, growth, ordered_blocks, pack_documents, pack_hashes, runs_of, sets_table, unpack_documents, unpack_hashes
 from .text import WordHashes, binary_column, mix, only, window_hashes
 
 WINDOW = 13
@@ -84,10 +84,10 @@ def dedup(documents: DataFrame, window: int = WINDOW, block_bytes: int | None =
     """Per document: doc_id, n_words, n_removed and kept_text (the kept words, joined by one space)."""
     ship_package(documents.sparkSession)
     docs = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds, n_bytes = plan_blocks(docs, block_bytes) if block_bytes else plan_blocks(docs)
-    n_parts = int(max(64, n_bytes // 6 // part_hashes))
+    number, n_bytes = ordered_blocks(docs, block_bytes) if block_bytes else ordered_blocks(docs)
+    n_parts = int(max(64, n_bytes // 6 // (part_hashes * growth(n_bytes))))
     frequent = frequent_words(docs, 1 / (4 * n_parts))
-    packed = pack_documents(docs, bounds)
+    packed = pack_documents(docs, number)
 
     def leaves(table: pa.Table) -> pa.Table:
         _, texts = unpack_documents(table["blob"].to_pylist())
@@ -100,13 +100,14 @@ def dedup(documents: DataFrame, window: int = WINDOW, block_bytes: int | None =
         rows = sorted(zip(*(table[c].to_pylist() for c in ("block", "n", "width", "blob"))))
         label = np.concatenate([unpack_hashes(*r[1:]) for r in rows])
         order = np.argsort(label, kind="stable")  # leaves of a node stay in block order
-        starts, _ = runs_of(label[order])
-        earlier = np.ones(len(label), bool)
-        earlier[order[starts]] = False
+        starts, run = runs_of(label[order])
+        rank = np.repeat([r[0] // SUBS for r in rows], [r[1] for r in rows])[order]
+        earlier = np.empty(len(label), bool)
+        earlier[order] = rank > rank[starts][run]  # blocks of one rank hold one id, or the null ids
         ends = np.cumsum([r[1] for r in rows])
         bits = [np.packbits(earlier[e - r[1] : e]).tobytes() for e, r in zip(ends, rows)]
         part = [table["part"][0].as_py()] * len(rows)
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array(part, pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(bits, pa.binary())], names=["block", "part", "n", "answer"])
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array(part, pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(bits, pa.binary())], names=["block", "part", "n", "answer"])
 
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = unpack_documents(table["blob"].to_pylist()) if table.num_rows else (np.empty(0, np.int64), [])

@@ -60,3 +60,34 @@ def test_one_row_of_each_group_is_kept(spark):
     out = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted((-1 if i is None else i, (t or "").split(" ")[0]) for i, t in out) == sorted([(1, "w1x0"), (3, "w3x0"), (-1, "w5x0"), (7, "w7x0"), (8, ""), (8, ""), (-1, ""), (2, "")])
     assert sorted(map(str, out)) == sorted(map(str, ((r.doc_id, r.text) for r in keep_one(df.repartition(3)).collect())))
+
+
+def test_a_large_group_of_near_copies(spark):
+    """5,000 near copies of one text, of which not all link to the original, against a count of all overlaps."""
+    import numpy as np
+
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        own = list(base)
+        for _ in range(draw.choice((0, 1, 1, 2, 3))):
+            own[draw.randrange(60)] = f"x{draw.randrange(40)}" if draw.random() < 0.3 else f"y{i}"
+        rows.append((i, " ".join(own)))
+    sets = [{hash(tuple(t.split()[k : k + 5])) for k in range(56)} for _, t in rows]
+    holders: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    postings = {x: np.array(h) for x, h in holders.items()}
+    sizes = np.array([len(s) for s in sets])
+    comp = np.arange(len(sets))
+    links = [np.flatnonzero(100 * (both := np.bincount(np.concatenate([postings[x] for x in s]), minlength=len(sets))) >= 75 * (len(s) + sizes - both)) for s in sets]
+    while True:
+        least = np.array([comp[k].min() for k in links])
+        if (least == comp).all():
+            break
+        comp = least
+    assert 1 < len(set(comp.tolist())) < 4000
+    out = join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == list(enumerate(comp.tolist()))
