@@ -4,14 +4,17 @@ Sources, by code point with null last, weigh 1, 2, 3, 1, 2, 3, ... and share the
 sizes; a source's target stops at MAX_REPEATS times its size, and the excess is shared anew by
 weight until none is above. The schedule has one slot per BLOCK_WORDS words of the mix. Slot t has
 the golden-ratio point frac((t + 0.5) * GOLDEN), which the cumulative targets map to a source. A
-source's documents are shuffled by hash into one stream of words and cut into equal blocks; its
-r-th slot takes block r, round after round. So any stretch of the schedule holds the sources in
-proportion, every source ends within a block or two of its target, and no document is taken more
-often than MAX_REPEATS times.
+source's documents are shuffled by hash into one stream of words, which goes round and round and is cut
+into equal blocks; the source's r-th slot takes block r, until the words of its target, rounded, are
+taken: its last block is cut there. The schedule gives a source a few slots more or less than that needs;
+slots beyond it stay empty, and missing ones follow at the schedule's end. So any stretch of the schedule
+holds the sources in proportion, every source ends at its target, and no document is taken more often
+than MAX_REPEATS times.
 
 Nothing is gathered in one task: offsets in a source's stream come from sums over hash ranges
-(RANGES of them at most per source) and a running sum inside each range. A source's table of targets has one row per
-source and is broadcast only below the size that Spark checks itself.
+(RANGES of them at most per source) and a running sum inside each range, and ranks of slots in the
+same way from CHUNK slots each. Slots and blocks meet by (source, rank). A source's table of targets has
+one row per source and is broadcast only below the size that Spark checks itself.
 
 Defined results: a null or empty text has size 0 and taken 0; a null doc_id keeps its row (as do
 repeated rows: each row is a document of its own); a null source is a source like others; an empty
@@ -28,10 +31,12 @@ from quillet.session import materialize, ship_package
 
 from .text import binary_column, map_batches, only
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 256
 MAX_REPEATS = 3
 GOLDEN = 0.6180339887498949
 RANGES = 4096
+#: Slots that are ranked together.
+CHUNK = 1 << 16
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -103,35 +108,75 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return slots.withColumn("k", found).select(F.col("id").alias("slot"), names[F.col("k")].alias("source"))
 
 
-def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, taken and the place in its source's stream."""
-    ship_package(documents.sparkSession)
+def ranked(slots: DataFrame) -> DataFrame:
+    """(slot, source, rank): how many of the source's slots come before."""
+    chunked = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = chunked.groupBy("source", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    inside = chunked.withColumn("inside", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1)
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.chunk") == F.col("b.chunk"))
+    return inside.alias("a").join(counts.alias("b"), same).select("slot", F.col("a.source").alias("source"), (F.col("before") + F.col("inside")).alias("rank"))
+
+
+def _streamed(documents: DataFrame, max_repeats: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, size, source, source_size, target, total, start) of each row, and the sources' targets.
+
+    start is the row's place in its source's shuffled stream of words, total the words that its source gives.
+    """
     docs = materialize(sized(documents), "sizes")  # a few bytes a document: the texts are read once
     docs = docs.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("part", F.substring("place", 1, 3))
     sums = docs.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), max_repeats)
-    slots = schedule(goals, block_words).groupBy("source").agg(F.count("*").alias("n_slots"))
-    per_source = (
-        goals.join(slots, goals["source"].eqNullSafe(slots["source"]), "left")
-        .select(goals["source"], "source_size", "target", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
-        # equal blocks, near block_words long
-        .withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("source_size") / block_words).cast("long")))
-        .withColumn("n_slots", F.least("n_slots", max_repeats * F.col("n_blocks")))
-        .withColumn("rounds", F.floor(F.col("n_slots") / F.col("n_blocks")))
-        # blocks below n_slots mod n_blocks are taken once more; their end in the stream, rounded down to a word
-        .withColumn("once_more", F.floor((F.col("n_slots") % F.col("n_blocks")) * F.col("source_size") / F.col("n_blocks")).cast("long"))
-    )
+    goals = materialize(goals.withColumn("total", F.floor(F.col("target") + 0.5)), "targets")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sums.withColumn("part_start", F.coalesce(F.sum("part_size").over(before), F.lit(0))).drop("part_size")
-    places = parts.alias("p").join(per_source.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.source", "part", "part_start", "source_size", "target", "rounds", "once_more")
+    places = parts.alias("p").join(goals.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.source", "part", "part_start", "source_size", "target", "total")
     inside = Window.partitionBy("source", "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     streamed = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = streamed.alias("d").join(places.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.part") == F.col("q.part")))
-    start = F.col("part_start") + F.col("inside")
-    more = F.greatest(F.lit(0), F.least(F.col("once_more") - start, F.col("size")))
-    return joined.select(
-        "d.doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + more).cast("long").alias("taken"), F.col("d.source").alias("source"), start.alias("stream_start")
-    )
+    return joined.select("doc_id", "size", F.col("d.source").alias("source"), "source_size", "target", "total", (F.col("part_start") + F.col("inside")).alias("start")), goals
+
+
+def _ordered(streamed: DataFrame, goals: DataFrame, block_words: int) -> DataFrame:
+    """The mix: each slot's pieces of documents, with the columns of streamed and (slot, rank, piece_start, words)."""
+    slots = ranked(schedule(goals, block_words))
+    given = slots.groupBy("source").agg(F.max("rank").alias("last"))
+    need = F.ceil(F.col("total") / block_words)
+    per_source = goals.alias("g").join(given.alias("n"), F.col("g.source").eqNullSafe(F.col("n.source")), "left").select("g.source", need.alias("need"), F.coalesce(F.col("last") + 1, F.lit(0)).alias("given"))
+    # the schedule's discrepancy: a few slots a source
+    late = per_source.where("given < need").select(F.lit(None).cast("long").alias("slot"), "source", F.explode(F.sequence("given", F.col("need") - 1)).alias("rank"))
+    slots = slots.unionByName(late)
+    # a document's places in the stream as it goes round, block by block, up to its source's words
+    rounds = streamed.where("size > 0 AND total > start").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - F.col("start") - 1) / F.col("source_size")))))
+    low = F.col("turn") * F.col("source_size") + F.col("start")
+    rounds = rounds.withColumn("low", low).withColumn("high", F.least(F.col("low") + F.col("size"), F.col("total")))
+    blocks = rounds.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block_words), F.floor((F.col("high") - 1) / block_words))))
+    begin = F.greatest(F.col("low"), F.col("rank") * block_words)
+    pieces = blocks.withColumn("piece_start", begin - F.col("low")).withColumn("words", F.least(F.col("high"), (F.col("rank") + 1) * block_words) - begin)
+    joined = pieces.alias("p").join(slots.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.rank") == F.col("s.rank")))
+    return joined.select("doc_id", "size", F.col("p.source").alias("source"), "source_size", "target", "start", "slot", F.col("p.rank").alias("rank"), "piece_start", "words")
+
+
+def blocks(documents: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix in pieces: slot (null: after all others), source, rank, doc_id, piece_start and words.
+
+    Read by slot, then rank, then the pieces' places: each row is a run of words of one document.
+    """
+    ship_package(documents.sparkSession)
+    streamed, goals = _streamed(documents, max_repeats)
+    return _ordered(streamed, goals, block_words).select("slot", "source", "rank", "doc_id", "piece_start", "words", "start")
+
+
+def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target, taken and the place in its source's stream."""
+    ship_package(documents.sparkSession)
+    streamed, goals = _streamed(documents, max_repeats)
+    streamed = materialize(streamed, "stream")
+    # with words, (source, start) is one row: two of a source never start at one place
+    keys = ["doc_id", "size", "source", "source_size", "target", "start"]
+    taken = _ordered(streamed, goals, block_words).groupBy(*keys).agg(F.sum("words").alias("taken"))
+    none = streamed.where("size = 0 OR total <= start").select(*keys, F.lit(0).cast("long").alias("taken"))
+    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("start").alias("stream_start"))
 
 
 ORACLE_SQL = """
@@ -149,22 +194,10 @@ goals AS (
   SELECT source, source_size,
          CASE WHEN level * weight > cap OR free_level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(free_level * weight, CAST(cap AS DOUBLE)) END AS target
   FROM filled, free),
-bounds AS (
-  SELECT source, (sum(target) OVER (ORDER BY source IS NULL, source) - target) / sum(target) OVER () AS low,
-         sum(target) OVER (ORDER BY source IS NULL, source) / sum(target) OVER () AS high, target FROM goals),
-slots AS (
-  SELECT ((t + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS x
-  FROM range(0, CAST((SELECT ceil(sum(target) / 64) FROM goals) AS BIGINT)) r(t)),
-counted AS (
-  SELECT b.source, count(*) AS n_slots FROM slots ASOF JOIN (SELECT * FROM bounds WHERE target > 0) b ON slots.x >= b.low GROUP BY b.source),
-per_source AS (
-  SELECT g.*, greatest(1, CAST(round(source_size / 64.0) AS BIGINT)) AS n_blocks, coalesce(n_slots, 0) AS slots
-  FROM goals g LEFT JOIN counted c ON g.source IS NOT DISTINCT FROM c.source),
-held AS (SELECT *, least(slots, 3 * n_blocks) AS n FROM per_source),
 streamed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs)
 SELECT doc_id, size, source_size, target,
-       CAST((n // n_blocks) * size + greatest(0, least(CAST(floor((n % n_blocks) * source_size / n_blocks) AS BIGINT) - start, size)) AS BIGINT) AS taken,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (total // source_size) * size + greatest(0, least(total % source_size - start, size)) END AS BIGINT) AS taken,
        d.source AS source, CAST(start AS BIGINT) AS stream_start
-FROM streamed d JOIN held h ON d.source IS NOT DISTINCT FROM h.source
+FROM streamed d JOIN (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS total FROM goals) h ON d.source IS NOT DISTINCT FROM h.source
 """
