@@ -1,11 +1,13 @@
 """Quality classifier: supervised subword embeddings with a softmax output.
 
-Each word of a text brings the hash of the whole word and of its character n-grams, and each word
-that comes again at once the hash of that word n-gram's pattern; the text's vector is the mean of their learned vectors, and a softmax over two classes follows. Training is
-plain stochastic gradient descent in numpy over a bounded sample of labelled rows
-(PER_CLASS ids of each class, weighted back to the classes' shares), whose hashed features are
-counted on the executors. Scoring folds the two matrices: every feature then has one number, every
-word a sum of those, and whole texts are scored by looking up words.
+Each word of a text brings the hash of the whole word, of its character n-grams and of the pair it
+makes with the word before, and each word that comes again at once the hash of that pattern; the
+text's vector is the mean of their learned vectors, and a softmax over two classes follows. Training
+is plain stochastic gradient descent in numpy over a bounded sample of labelled rows (PER_CLASS ids of
+each class, weighted back to the classes' shares), whose hashed features are counted on the
+executors; one task learns from them, so that the driver holds the finished numbers alone. Scoring
+folds the two matrices: every feature then has one number, every word a sum of those, and whole texts
+are scored by looking up words and pairs.
 
 Defined results: a null or empty text has the score of the bias alone (the prior); null doc_ids
 keep their rows and count as the empty id for the fold; repeated rows give repeated rows; extra
@@ -19,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +86,15 @@ class WordTable(dict):
         return out
 
 
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of a text's word pairs, from its words' hashes."""
+    return (mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def repeats(words: list[bytes]) -> tuple[int, int]:
     """How often a word is the one before it, and the one before that: word n-grams by their pattern."""
     return sum(map(eq, words, words[1:])), sum(map(eq, words, words[2:]))
@@ -94,8 +106,10 @@ def counted_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     known = WordTable()
     rows = known.rows(words)
-    buckets, sizes = word_features(known.taken())
+    new = known.taken()
+    buckets, sizes = word_features(new)
     total = np.bincount(buckets, np.repeat(np.bincount(rows), sizes), BUCKETS)
+    total += np.bincount(pair_buckets(word_hashes(new)[rows]), minlength=BUCKETS)
     np.add.at(total, list(REPEATS), repeats(words))
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), (total[ids] / total.sum()).astype(np.float32)
@@ -106,7 +120,7 @@ class Model:
 
     def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weights: list[float], seed: int = 7):
         draw = np.random.default_rng(seed)
-        self.vectors = (draw.random((BUCKETS, DIM)) - 0.5) / DIM
+        self.vectors = np.ascontiguousarray(((draw.random((BUCKETS, DIM)) - 0.5) / DIM).T)  # a row for each dimension
         self.output = draw.standard_normal((DIM, 2)) / DIM
         self.bias = np.zeros(2)
         if len(y):
@@ -120,9 +134,10 @@ class Model:
 
     def step(self, docs: list, y: np.ndarray, weights: list[float], rate: float) -> None:
         docs = [(i, v) if len(i) else (np.zeros(1, np.int32), np.zeros(1, np.float32)) for i, v in docs]
-        ids, shares = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs])[:, None]
+        ids, shares = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs])
         sizes = np.array([len(d[0]) for d in docs])
-        hidden = np.add.reduceat(self.vectors[ids] * shares, np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        hidden = np.stack([np.add.reduceat(own[ids] * shares, starts) for own in self.vectors], axis=1)
         logits = hidden @ self.output + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
@@ -132,16 +147,18 @@ class Model:
         back = grad @ self.output.T
         self.output -= rate * 0.05 * hidden.T @ grad
         self.bias -= rate * 0.01 * grad.sum(axis=0)
-        np.subtract.at(self.vectors, ids, rate * shares * np.repeat(back, sizes, axis=0))
+        doc = np.repeat(np.arange(len(docs)), sizes)
+        for own, slope in zip(self.vectors, back.T):
+            own -= rate * np.bincount(ids, shares * slope[doc], BUCKETS)
 
     def per_feature(self) -> tuple[np.ndarray, float]:
         """The log-odds of class 1 are linear in the mean vector: one number a feature, and the bias."""
         odds = self.output[:, 1] - self.output[:, 0]
-        return (self.vectors @ odds).astype(np.float32), float(self.bias[1] - self.bias[0])
+        return (odds @ self.vectors).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Learn from documents and labels.quality; the sample's hashed features alone reach the driver."""
+    """Learn from documents and labels.quality; the features' numbers and the bias alone reach the driver."""
     ship_package(documents.sparkSession)
     chosen, sizes = training_labels(labels, "quality", per_class)
     sample = only(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
@@ -154,27 +171,38 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
 
         return step
 
-    rows = map_batches(sample, make, "doc_id long, y int, ids binary, shares binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    docs = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
-    y = np.array([r["y"] for r in rows], int)
-    return Model(docs, y, class_weights(y, sizes)).per_feature()
+    def fit(table: pa.Table) -> pa.Table:
+        order = sorted(range(table.num_rows), key=lambda k: (table["doc_id"][k].as_py(), table["ids"][k].as_py()))
+        found = [(np.frombuffer(table["ids"][k].as_buffer(), np.int32), np.frombuffer(table["shares"][k].as_buffer(), np.float32)) for k in order]
+        y = np.array([table["y"][k].as_py() for k in order], int)
+        values, bias = Model(found, y, class_weights(y, sizes)).per_feature()
+        return pa.table([pa.array([values.tobytes()], pa.binary()), pa.array([bias])], names=["feature_values", "bias"])
+
+    # 2 * per_class rows at most, in one task
+    found = map_batches(sample, make, "doc_id long, y int, ids binary, shares binary").groupBy(F.lit(0).alias("all")).applyInArrow(fit, "feature_values binary, bias double").collect()
+    if not found:
+        return np.zeros(BUCKETS, np.float32), 0.0
+    return np.frombuffer(bytes(found[0].feature_values), np.float32), found[0].bias
 
 
 def scorer(per_feature: np.ndarray, bias: float):
     """A function from UTF-8 texts to scores; it keeps the word table between its calls."""
-    state = {"known": WordTable(), "value": np.empty(0), "count": np.empty(0)}
+    fresh = lambda: {"known": WordTable(), "value": np.empty(0), "count": np.empty(0), "hash": np.empty(0, np.uint64)}
+    state = fresh()
 
     def sums(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's sum of feature numbers and its number of features."""
         if len(state["known"]) > state["known"].limit:
-            state.update(known=WordTable(), value=np.empty(0), count=np.empty(0))
+            state.update(fresh())
         rows = [state["known"].rows(words) for words in texts]
-        buckets, sizes = word_features(state["known"].taken())
+        new = state["known"].taken()
+        buckets, sizes = word_features(new)
         if len(sizes):
+            state["hash"] = np.r_[state["hash"], word_hashes(new)]
             state["value"] = np.r_[state["value"], np.add.reduceat(per_feature[buckets].astype(float), np.r_[0, np.cumsum(sizes)[:-1]])]
             state["count"] = np.r_[state["count"], sizes]
-        return np.array([state["value"][r].sum() for r in rows]), np.array([state["count"][r].sum() for r in rows])
+        pairs = np.array([per_feature[pair_buckets(state["hash"][r])].sum(dtype=float) for r in rows])
+        return pairs + [state["value"][r].sum() for r in rows], np.array([state["count"][r].sum() + max(0, len(r) - 1) for r in rows])
 
     def score(texts: list[bytes | None]) -> np.ndarray:
         scores = []
