@@ -1,15 +1,17 @@
 """Benchmark decontamination: latent semantic retrieval, then longest-common-subsequence and answer checks.
 
-1. Document frequencies of the benchmark's words over all documents give IDF weights.
+1. Document frequencies of the benchmark's words over all documents, counted in one pass, give IDF
+   weights; frequent words weigh little, but never nothing.
 2. The benchmark's passages (of PASSAGE words, half overlapping; short items are one passage) are TF-IDF
-   rows. A distributed randomised SVD finds the RANK leading right singular vectors: each partition
-   sends A'(A Omega) for its rows (a range finder with POWER power steps), and an orthonormal basis is
-   made of the sum. Words outside the benchmark have no weight in any passage, so the basis is zero
-   there and a document's other words only lengthen its vectors.
+   rows. A distributed randomised SVD finds their leading right singular vectors: each partition sends
+   A'(A Omega) for its rows (a range finder with POWER power steps), and an orthonormal basis is made
+   of the sum. The space keeps as many directions as hold KEPT of the rows' energy, RANK at most.
+   Words outside the benchmark have no weight in any passage, so the basis is zero there and a
+   document's other words only lengthen its vectors.
 3. Every window of every whole text (PASSAGE words, in steps of a quarter) is folded into that space;
    its dot product with each passage's unit point, over the window's whole TF-IDF length, is compared
-   with CANDIDATE times the share of the passage that the space keeps. The weight of benchmark words
-   in a window bounds that product, so most windows are done after one sum.
+   with CANDIDATE times the share of the passage that the space keeps. The sum of the most that each
+   word can add to any passage's product bounds it, so most windows are done after one sum.
 4. A candidate is checked by words: the longest common subsequence of the passage and the text around
    the window, over the passage's length. EXACT or more is contamination; between PARAPHRASE and
    EXACT the answer must be there too (the item's answer column, else the rarest words of its last
@@ -20,13 +22,13 @@
    any stretch of up to twice a passage's length lies, are counted so for every passage, and those with
    k or more are checked as above, stretch by stretch. Rarity decides the cost alone, not the result.
 
-The benchmark is collected in blocks of BLOCK_ITEMS items, each a stated query set against all
-documents, so what a task holds is bounded whatever the benchmark's size.
+The benchmark is the stated query set. Its items come to the driver one block of BLOCK_ITEMS at a time,
+each with a space of its own; a task holds PASS_BLOCKS blocks, and a larger benchmark is searched in
+several passes whose findings are joined by the texts' hashes.
 
 Defined results: null or empty texts are clean; a null doc_id keeps its row; repeated rows give
-repeated rows; null or empty items are ignored; items of fewer than MIN_ITEM_WORDS words and passages of
-frequent words only have no point in the space and are found by words (step 5), under the same checks; items
-of fewer than SHORT words must occur word for word, as a few of their words in order are no evidence, which a
+repeated rows; null or empty items are ignored; items of fewer than MIN_ITEM_WORDS words
+have no point in the space and are found by words (step 5), under the same checks; items of fewer than SHORT words must occur word for word, as a few of their words in order are no evidence, which a
 hash of every run of as many words finds; an empty benchmark leaves all documents clean; extra columns are ignored by the
 report and kept by remove().
 """
@@ -41,17 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.session import ship_package
+from quillet.session import materialize, ship_package
 
 from .text import WordHashes, filter_rows, only, window_hashes
 
 PASSAGE = 32
-RANK = 320
+RANK = 256
+#: Share of the passages' squared length that the space keeps, if RANK directions can.
+KEPT = 0.9
 OVERSAMPLING = 16
 POWER = 2
 CANDIDATE = 0.35
-#: A word in more than this share of all documents has no weight in the search (the word checks see all words).
-MAX_DF = 0.1
 EXACT = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.5
@@ -59,6 +61,8 @@ ANSWER = 0.5
 MIN_ITEM_WORDS = 12
 SHORT = 5
 BLOCK_ITEMS = 250
+#: Blocks of items that a task holds at once.
+PASS_BLOCKS = 16
 #: Words of a text's block in the search by words: a stretch of 2 * PASSAGE words lies in two neighbouring ones.
 BLOCK = 2 * PASSAGE
 #: Blocks that are counted at once.
@@ -108,14 +112,14 @@ class Benchmark:
         self.basis = self.points = self.limit = None
 
     def weigh(self, n_docs: int, df: np.ndarray) -> None:
-        """Weights by document frequency; passages without weight and those of short items are left to the search by words."""
-        self.idf = np.where(df > MAX_DF * n_docs, 0.0, np.log((n_docs + 1) / (df + 1)) + 0.1)
+        """Weights by document frequency; short items are left to the search by words."""
+        self.idf = np.log((n_docs + 1) / (df + 1)) + 0.1
         self.other = float(np.log(n_docs + 1) + 0.1)
         self.df = df
         long = lambda n: {p for p, x in enumerate(self.items) if len(x[1]) >= n}
         by_words, in_space = long(SHORT), long(MIN_ITEM_WORDS)
         self.by_words = [x for x in self.passages if x[0] in by_words]
-        self.passages = [x for x in self.by_words if x[0] in in_space and any(self.idf[self.vocabulary[w]] for w in self.items[x[0]][1][x[1] : x[2]])]
+        self.passages = [x for x in self.by_words if x[0] in in_space]
         self.exact: dict[int, dict[int, list[int]]] = {}
         hashes = WordHashes()
         for p in sorted(set(range(len(self.items))) - by_words):
@@ -127,7 +131,6 @@ class Benchmark:
         out = []
         for p, start, end in self.passages:
             ids, tf = np.unique([self.vocabulary[w] for w in self.items[p][1][start:end]], return_counts=True)
-            ids, tf = ids[self.idf[ids] > 0], tf[self.idf[ids] > 0]
             v = tf * self.idf[ids]
             out.append((ids, v / np.linalg.norm(v)))
         return out
@@ -148,8 +151,8 @@ class Benchmark:
         return own[: max(1, (len(own) + 1) // 2)]
 
 
-def randomised_basis(spark, rows: list[tuple[np.ndarray, np.ndarray]], n_words: int, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors of the rows: power iterations of A'A over partitions of rows."""
+def randomised_basis(spark, rows: list[tuple[np.ndarray, np.ndarray]], n_words: int, rank: int = RANK, kept: float = 1.0, seed: int = 5) -> np.ndarray:
+    """Leading right singular vectors of the unit rows, `rank` or as many as hold `kept` of their energy: power iterations of A'A over partitions of rows."""
     width = min(rank + OVERSAMPLING, n_words, len(rows))
     omega = np.random.default_rng(seed).standard_normal((n_words, width))
     data = spark.createDataFrame(
@@ -177,8 +180,9 @@ def randomised_basis(spark, rows: list[tuple[np.ndarray, np.ndarray]], n_words:
     q = np.linalg.qr(multiplied(omega))[0]
     for _ in range(POWER - 1):
         q = np.linalg.qr(multiplied(q))[0]
-    small = np.linalg.svd(q.T @ multiplied(q), full_matrices=False)[0]  # A'A in the basis: its eigenvectors
-    return (q @ small)[:, :rank]
+    small, energy, _ = np.linalg.svd(q.T @ multiplied(q), full_matrices=False)  # A'A in the basis: its eigenvectors
+    enough = int(np.searchsorted(np.cumsum(energy), kept * len(rows))) + 1  # the rows have unit length
+    return (q @ small)[:, : min(rank, enough)]
 
 
 def _blocks(benchmark: DataFrame) -> list[Benchmark]:
@@ -194,39 +198,42 @@ def _blocks(benchmark: DataFrame) -> list[Benchmark]:
     return [b for b in out if b.items]
 
 
-def fit(documents: DataFrame, block: Benchmark) -> Benchmark:
-    """IDF over all documents, then the latent space of the block's passages."""
-    known = block.vocabulary
+def fit_all(documents: DataFrame, blocks: list[Benchmark]) -> list[Benchmark]:
+    """IDF over all documents in one pass, then the latent space of each block's passages."""
+    vocabulary = {w: i for i, w in enumerate(sorted({w for b in blocks for w in b.vocabulary}))}
 
     def count(batches):
-        cache = Ids(block)
-        df, n = np.zeros(len(known) + 2, np.int64), 0
+        cache = Ids(vocabulary)
+        df, n = np.zeros(len(vocabulary) + 2, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
                 if len(cache) > 300_000:
                     cache.clear()
                 df[list(set(map(cache.__getitem__, set((text or "").split()))))] += 1
-        df = df[: len(known)]  # without other words and those of marks only
-        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "df"])
-
-    counts = only(documents, "text").mapInArrow(count, "n long, df array<long>")
-    pairs = counts.select(F.posexplode("df").alias("word", "df")).groupBy("word").agg(F.sum("df").alias("df")).where("df > 0").collect()
-    df = np.zeros(len(known))
-    for r in pairs:
-        df[r["word"]] = r["df"]
-    block.weigh(documents.count(), df)
-    rows = block.rows()
-    block.place(randomised_basis(documents.sparkSession, rows, len(known)) if rows else np.zeros((len(known), 1)))
-    return block
+        df[len(vocabulary)] = n  # in place of other words
+        at = np.flatnonzero(df[: len(vocabulary) + 1])
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], ["word", "df"])
+
+    df, n_docs = np.zeros(len(vocabulary)), 0
+    for r in only(documents, "text").mapInArrow(count, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect():  # the benchmark's words at most
+        if r["word"] == len(vocabulary):
+            n_docs = r["df"]
+        else:
+            df[r["word"]] = r["df"]
+    for block in blocks:
+        block.weigh(n_docs, df[[vocabulary[w] for w in block.vocabulary]])
+        rows = block.rows()
+        block.place(randomised_basis(documents.sparkSession, rows, len(block.vocabulary), kept=KEPT) if rows else np.zeros((len(block.vocabulary), 1)))
+    return blocks
 
 
 class Ids(dict):
     """word -> id: a benchmark word's place, one past them for other words, two past for words of marks only."""
 
-    def __init__(self, block: Benchmark):
+    def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary = block.vocabulary
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
         w = normal(word)
@@ -241,9 +248,13 @@ class Searcher:
         self.b, self.candidate, self.exact, self.paraphrase = block, candidate, exact, paraphrase
         self.square = np.append(block.idf**2, [block.other**2, 0.0])  # by id: benchmark words, other words, none
         self.least = candidate * float(block.limit.min()) if len(block.limit) else 1.0
-        self.cache = Ids(block)
+        # the most that one word adds to the product with any passage's point; other words add nothing
+        most = [(block.basis[k : k + 1000] @ block.points.T).max(axis=1) for k in range(0, len(block.basis), 1000)] if len(block.points) else [np.zeros(len(block.basis))]
+        self.most = np.append(np.maximum(np.concatenate(most), 0), [0.0, 0.0])
+        self.cache = Ids(block.vocabulary)
         self.hashes = WordHashes()
         self.index()
+        self.place_of = {x[:2]: k for k, x in enumerate(block.by_words)}
 
     def index(self) -> None:
         """Postings of each passage's rarest words, of which a copy holds `atleast` or more, and the words' places as bits."""
@@ -332,22 +343,22 @@ class Searcher:
             return sorted(found.items(), key=lambda x: (x[0] is None, x))
         # sums over steps of 8 words; a window is four steps in a row (fewer in short texts)
         cuts, size = np.arange(0, len(ids), step), min(4, n_steps)
-        weight = self.square[ids]
-        own = np.where(ids < n_words, weight, 0.0)
         sums_of = lambda x: np.add.reduceat(x, cuts)
         windowed = lambda x: sum(x[k : len(x) - size + 1 + k] for k in range(size))
-        length2, own2 = windowed(sums_of(weight)), windowed(sums_of(own))
-        maybe = np.flatnonzero(own2 >= self.least**2 * np.maximum(length2, 1e-9))
+        length = np.sqrt(np.maximum(windowed(sums_of(self.square[ids])), 1e-9))
+        maybe = np.flatnonzero(windowed(sums_of(self.most[ids])) >= self.least * (1 - 1e-5) * length)
         if not len(maybe):
             return sorted(found.items(), key=lambda x: (x[0] is None, x))
         # the steps of the windows that are left, and of their words those with weight
         steps = np.unique((maybe[:, None] + np.arange(size)).ravel())
         sums = np.zeros((len(steps), self.b.basis.shape[1]), np.float32)
-        words = np.flatnonzero((own > 0) & np.isin(np.arange(len(ids)) // step, steps))
-        np.add.at(sums, np.searchsorted(steps, words // step), self.b.basis[ids[words]])
+        words = np.flatnonzero((ids < n_words) & np.isin(np.arange(len(ids)) // step, steps))
+        of_step = words // step
+        first = np.flatnonzero(np.r_[True, of_step[1:] != of_step[:-1]])
+        sums[np.searchsorted(steps, of_step[first])] = np.add.reduceat(self.b.basis[ids[words]], first, axis=0)
         first = np.searchsorted(steps, maybe)
         windows = sum(sums[first + k] for k in range(size))
-        cosine = (windows / np.sqrt(np.maximum(length2[maybe], 1e-9))[:, None].astype(np.float32)) @ self.b.points.T
+        cosine = (windows / length[maybe][:, None].astype(np.float32)) @ self.b.points.T
         at, passage = np.nonzero(cosine >= self.candidate * self.b.limit)
         at = maybe[at]
         if not len(at):
@@ -359,15 +370,15 @@ class Searcher:
         ends = np.r_[start[1:], len(at)] - 1
         for s, e in zip(start, ends):
             p, a, z = self.b.passages[passage[s]]
-            item_id, words, _, _ = self.b.items[p]
-            want = words[a:z]
+            item_id = self.b.items[p][0]
             low, high = max(0, (at[s] - 2) * step), (at[e] + size + 2) * step
-            near = [normal(raw[k]) for k in place[low:high]]
-            share = lcs_length(want, near) / len(want)
+            share = self.ordered(self.place_of[p, a], ids[low:high].tolist()) / (z - a)
+            if share <= found.get(item_id, 0.0):
+                continue
             if share >= self.exact:
                 ok = True
             elif share >= self.paraphrase:
-                answer, there = self.b.answer(p), set(near)
+                answer, there = self.b.answer(p), {normal(raw[k]) for k in place[low:high]}
                 ok = sum(w in there for w in answer) >= ANSWER * len(answer)
             else:
                 ok = False
@@ -389,16 +400,59 @@ class Searcher:
         return out
 
 
+def _passes(documents: DataFrame, benchmark: DataFrame, options: tuple[float, float, float]) -> list:
+    """For each pass over the documents, a function that makes its searchers."""
+    blocks = fit_all(documents, _blocks(benchmark))
+
+    def maker(own: list[Benchmark]):
+        return lambda: [Searcher(b, *options) for b in own]
+
+    return [maker(blocks[k : k + PASS_BLOCKS]) for k in range(0, len(blocks), PASS_BLOCKS)]
+
+
+def _found(documents: DataFrame, passes: list) -> DataFrame:
+    """(h1, h2, item_ids, best_share) of the texts with items, by two hashes of the text, over all passes."""
+
+    def searching(make):
+        def search(batches):
+            searchers = make()
+            for batch in batches:
+                found = [[h for s in searchers for h in s.hits(t or "")] for t in batch.column(2).to_pylist()]
+                some = pa.array([bool(f) for f in found])
+                items, share = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([max((s for _, s in f), default=0.0) for f in found])
+                yield pa.record_batch([batch.column(0), batch.column(1), items, share], ["h1", "h2", "item_ids", "best_share"]).filter(some)
+
+        return search
+
+    hashed = documents.select(*_hashes(documents["text"]), documents["text"].cast("string").alias("text"))
+    every = [hashed.mapInArrow(searching(make), "h1 long, h2 long, item_ids array<long>, best_share double").distinct() for make in passes]
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("h1", "h2").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.max("best_share").alias("best_share"))
+
+
+def _hashes(text) -> list:
+    return [F.xxhash64(text.cast("string")).alias("h1"), F.xxhash64(text.cast("string"), F.lit(1)).alias("h2")]
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE, exact: float = EXACT, paraphrase: float = PARAPHRASE) -> DataFrame:
     """The documents' rows with item_ids (array), best_share and contaminated beside doc_id."""
     ship_package(documents.sparkSession)
     docs = only(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = [fit(docs, b) for b in _blocks(benchmark)]
-    if not blocks:
+    passes = _passes(docs, benchmark, (candidate, exact, paraphrase))
+    if not passes:
         return docs.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_share"), F.lit(False).alias("contaminated"))
+    if len(passes) > 1:
+        found = materialize(_found(docs, passes), "leaks")
+        marked = docs.select("doc_id", *_hashes(docs["text"])).join(found, ["h1", "h2"], "left")
+        return marked.select(
+            "doc_id", F.coalesce(F.array_sort("item_ids"), F.array().cast("array<long>")).alias("item_ids"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"), F.col("best_share").isNotNull().alias("contaminated")
+        )
+    make = passes[0]
 
     def search(batches):
-        searchers = [Searcher(b, candidate, exact, paraphrase) for b in blocks]
+        searchers = make()
         for batch in batches:
             found = [[h for s in searchers for h in s.hits(t or "")] for t in batch.column(1).to_pylist()]
             items = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64()))
@@ -410,11 +464,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, candidate: float = CA
 def remove(documents: DataFrame, benchmark: DataFrame, candidate: float = CANDIDATE, exact: float = EXACT, paraphrase: float = PARAPHRASE) -> DataFrame:
     """The documents, with all their columns, in which no item is found."""
     ship_package(documents.sparkSession)
-    blocks = [fit(only(documents, "text"), b) for b in _blocks(benchmark)]
+    passes = _passes(only(documents, "text"), benchmark, (candidate, exact, paraphrase))
     at = documents.columns.index("text")
+    if len(passes) > 1:
+        found = materialize(_found(documents, passes), "leaks").select("h1", "h2")
+        rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), *_hashes(documents["text"]))
+        return rows.join(found, ["h1", "h2"], "left_anti").select(*[F.col("row")[c].alias(c) for c in documents.columns])
 
     def make():
-        searchers = [Searcher(b, candidate, exact, paraphrase) for b in blocks]
+        searchers = passes[0]() if passes else []
         return lambda batch: np.array([not any(s.hits(t or "") for s in searchers) for t in batch.column(at).to_pylist()])
 
     return filter_rows(documents, make)

@@ -119,3 +119,54 @@ def test_short_items_with_a_word_changed():
     assert [k for k, _ in s.hits("seven small words stand left here in one long row")] == [2]
     assert [k for k, _ in s.hits("just two words")] == [3]
     assert s.hits("two other words, which river, seven words in one town; past here small") == []
+
+
+def test_against_every_stretch(spark, monkeypatch):
+    """No copy that the word checks take is lost, whatever share of the documents holds the item; passes add up."""
+    from quillet.llm import decontaminate
+
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghiklmnoprst") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(draw.choice((9, 15, 40, 70))))) for k in range(12)] + [(40, " ".join(word() for _ in range(40)))]
+    rows = []
+    for i in range(100):
+        body = [word() for _ in range(draw.randrange(10, 200))]
+        k, text = items[-1] if i % 10 < 3 else draw.choice(items[:-1])
+        copy = [word() if j % 8 == 7 else w for j, w in enumerate(text.split())] if i % 10 < 3 else [word() if draw.random() < draw.choice((0.1, 0.3, 0.5)) else w for w in text.split()]
+        at = draw.randrange(len(body))
+        rows.append((i, " ".join(body[:at] + copy + body[at:])))
+    docs = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: set(r.item_ids) for r in find_leaks(docs, bench).collect()}
+    b = Benchmark([(k, t, None) for k, t in items])
+    df = {w: sum(w in t.split() for _, t in rows) + 5 * (w in " ".join(t for _, t in rows[:5]).split()) for w in b.vocabulary}
+    b.weigh(105, np.array([df[w] for w in b.vocabulary], float))
+    for i, text in rows:
+        near, must = text.split(), set()
+        for p, s, e in b.by_words:
+            want, m = b.items[p][1][s:e], e - s
+            for j in range(len(near)):
+                if near[j] in want:
+                    stretch = near[j : j + 2 * m]
+                    share = plain_lcs(want, stretch) / m
+                    answer = b.answer(p)
+                    if share >= EXACT or share >= PARAPHRASE and sum(w in stretch for w in answer) >= 0.5 * len(answer):
+                        must.add(b.items[p][0])
+                        break
+        assert must <= found[i], (i, must, found[i])
+        assert all(max(plain_lcs(b.items[p][1][s:e], near) / (e - s) for p, s, e in b.by_words if b.items[p][0] == k) >= PARAPHRASE for k in found[i])
+        assert i % 10 >= 3 or 40 in found[i]
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    again = find_leaks(docs, bench).collect()
+    assert {r.doc_id: set(r.item_ids) for r in again} == found and len(again) == 105
+    assert sorted(r.doc_id for r in remove(docs, bench).collect()) == sorted(i for i in [*range(100), *range(5)] if not found[i])
+
+
+def test_small_tables(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    changed = " ".join(f"x{k}" if k % 8 == 7 else f"w{k}" for k in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for n in (1, 6, 10):
+        docs = spark.createDataFrame([(k, f"other words {k} and more of them") for k in range(n - 1)] + [(99, f"before {changed} after")], "doc_id long, text string")
+        assert [r.doc_id for r in find_leaks(docs, bench).where("contaminated").collect()] == [99]
