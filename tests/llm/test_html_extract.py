@@ -38,3 +38,36 @@ def test_null_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "u", "")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract(df).collect()) == [(0, "", 0), (1, "", 0)]
     assert extract(df.limit(0)).collect() == []
+
+
+PROSE = "One two of the and that is in a sentence with the words of it. " * 4
+
+
+def test_frames_negations_and_broken_markup():
+    from quillet.llm.html_extract import main_text
+
+    whole = PROSE.strip()
+    for page in ('<div class="site no-sidebar"><p>%s</p></div>', '<div class="nav-open"><p>%s</p></div>', "<form><p>%s</p></form>", "<p title=it's>%s</p>", "<article><p>%s</p></article>"):
+        assert main_text(page.replace("%s", PROSE)) == whole, page
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{PROSE}</p></article>') == "Title\n\n" + whole
+    assert main_text(f"<article><p>© {PROSE}</p></article>") == "© " + whole
+    assert main_text(f"<article><p>{PROSE}</p><p><a href=x>a paragraph that is a link</a></p></article>").endswith("a paragraph that is a link")
+    assert main_text(f'<p>{PROSE}</p><form><p>{PROSE[:80]}</p></form><div class="sidebar"><p>{PROSE}</p></div><div id=comments><p>{PROSE * 9}</p></div>') == whole
+
+
+def test_languages_without_a_list():
+    from quillet.llm.html_extract import main_text
+
+    for text in ("これは日本語の文章です。" * 20, ("Zażółć gęślą jaźń oraz wiele innych słów które nie są znane tutaj wcale. " * 4).strip()):
+        assert main_text(f"<nav><a href=x>{text[:20]}</a></nav><p>{text}</p><p><a href=y>{text}</a></p>") == text
+
+
+def test_a_hundred_thousand_unclosed_tags():
+    import time
+
+    from quillet.llm.html_extract import main_text
+
+    for part in ("<div>x ", "<svg> ", '<p title="a ', "<span class=ad>y ", "<![CDATA[ ", "<!-- ", "< "):
+        began = time.process_time()
+        main_text(part * 100_000)
+        assert time.process_time() - began < 30, part
