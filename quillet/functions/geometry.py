@@ -8,9 +8,124 @@ from pyspark.sql import functions as F
 
 
 def turn(x: Column, y: Column, degrees: Column) -> Column:
-    """struct(x, y): a point turned about the origin."""
+    """struct(x, y): an offset turned anticlockwise on a page whose y goes down."""
     a = F.radians(degrees)
-    return F.struct((x * F.cos(a) - y * F.sin(a)).alias("x"), (x * F.sin(a) + y * F.cos(a)).alias("y"))
+    return F.struct((x * F.cos(a) + y * F.sin(a)).alias("x"), (y * F.cos(a) - x * F.sin(a)).alias("y"))
+
+
+def to_page(x: Column, y: Column, origin_x: Column, origin_y: Column, angle: Column) -> Column:
+    """A photo's point in the page's frame, whose x runs along the writing."""
+    return turn(x - origin_x, y - origin_y, -angle)
+
+
+def to_photo(x: Column, y: Column, origin_x: Column, origin_y: Column, angle: Column) -> Column:
+    """The inverse of to_page."""
+    moved = turn(x, y, angle)
+    return F.struct((moved["x"] + origin_x).alias("x"), (moved["y"] + origin_y).alias("y"))
+
+
+def finite(*values: Column) -> Column:
+    """Whether all values are numbers: no null, no NaN, no infinity."""
+    ok = F.lit(True)
+    for v in values:
+        ok = ok & F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    return ok
+
+
+def valid_frame(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
+    return finite(cx, cy, w, h, angle) & (w > 0) & (h > 0)
+
+
+def _cross(o: Column, p: Column, q: Column) -> Column:
+    return (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
+
+
+def convex_hull(points: Column) -> Column:
+    """The hull's corners from the least x on, by monotone chain over the sorted points, without repeats."""
+    kind = "array<struct<x:double,y:double>>"
+    distinct = F.array_sort(F.array_distinct(points))
+
+    def chain(ordered: Column) -> Column:
+        def add(kept: Column, p: Column) -> Column:
+            # the chain keeps its longest beginning after which the new point turns the right way
+            turns = F.transform(F.sequence(F.lit(2), F.size(kept)), lambda k: F.when(_cross(F.element_at(kept, k - 1), F.element_at(kept, k), p) > 0, k).otherwise(1))
+            keep = F.when(F.size(kept) < 2, F.size(kept)).otherwise(F.array_max(turns))
+            return F.concat(F.slice(kept, 1, keep), F.array(p))
+
+        return F.aggregate(ordered, F.array().cast(kind), add)
+
+    lower, upper = chain(distinct), chain(F.reverse(distinct))
+    whole = F.concat(F.slice(lower, 1, F.size(lower) - 1), F.slice(upper, 1, F.size(upper) - 1))
+    return F.when(F.size(distinct) < 3, distinct).otherwise(whole)
+
+
+def minimal_rectangle(hull: Column) -> Column:
+    """struct(area, w, h, angle) of the least rectangle along a side of the hull; w is the longer side."""
+    following = F.concat(F.slice(hull, 2, F.size(hull) - 1), F.slice(hull, 1, 1))
+
+    def along(p: Column, q: Column) -> Column:
+        n = F.sqrt(F.pow(q["x"] - p["x"], F.lit(2)) + F.pow(q["y"] - p["y"], F.lit(2)))
+        ux, uy = (q["x"] - p["x"]) / n, (q["y"] - p["y"]) / n
+        a = F.transform(hull, lambda c: c["x"] * ux + c["y"] * uy)
+        b = F.transform(hull, lambda c: c["y"] * ux - c["x"] * uy)
+        w, h = F.array_max(a) - F.array_min(a), F.array_max(b) - F.array_min(b)
+        return F.struct((w * h).alias("area"), F.greatest(w, h).alias("w"), F.least(w, h).alias("h"), F.degrees(F.atan2(uy, ux)).alias("angle"))
+
+    return F.array_min(F.zip_with(hull, following, along))
+
+
+def unclipped(points: Column, distance: Column, samples: int = 16) -> Column:
+    """The points of a disc around every corner: their hull is the outline moved outwards by the distance."""
+    turns = F.array(*[F.struct(F.lit(float(np.cos(k * 2 * np.pi / samples))).alias("c"), F.lit(float(np.sin(k * 2 * np.pi / samples))).alias("s")) for k in range(samples)])
+    return F.flatten(F.transform(points, lambda p: F.transform(turns, lambda t: F.struct((p["x"] + distance * t["c"]).alias("x"), (p["y"] + distance * t["s"]).alias("y")))))
+
+
+def outside_distance(x: Column, y: Column, corners: Column) -> Column:
+    """How far a point is from a polygon, 0 inside."""
+    following = F.concat(F.slice(corners, 2, F.size(corners) - 1), F.slice(corners, 1, 1))
+
+    def to_side(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - p["x"]) * dx + (y - p["y"]) * dy) / (dx * dx + dy * dy)))
+        return F.sqrt(F.pow(x - p["x"] - t * dx, F.lit(2)) + F.pow(y - p["y"] - t * dy, F.lit(2)))
+
+    return F.when(inside_polygon(x, y, corners), 0.0).otherwise(F.array_min(F.zip_with(corners, following, to_side)))
+
+
+def pixel_window(x: Column, y: Column, w: Column, h: Column, scale: Column, width: Column, height: Column) -> Column:
+    """struct(x0, y0, x1, y1): a window in millimetres as pixels, halves away from zero, inside the raster."""
+    return F.struct(
+        F.greatest(F.round(x * scale), F.lit(0)).cast("int").alias("x0"), F.greatest(F.round(y * scale), F.lit(0)).cast("int").alias("y0"),
+        F.least(F.round((x + w) * scale), width).cast("int").alias("x1"), F.least(F.round((y + h) * scale), height).cast("int").alias("y1"),
+    )
+
+
+def detector_side(side: Column) -> Column:
+    """A side as a multiple of 32, halves to the even one, 32 at least."""
+    return F.greatest(F.bround(side / 32) * 32, F.lit(32)).cast("int")
+
+
+def skew_allowed(ux: Column, uy: Column, vx: Column, vy: Column, degrees: float = 15.0) -> Column:
+    """Whether two axes are near enough to perpendicular."""
+    cosine = (ux * vx + uy * vy) / (F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy))
+    return F.abs(cosine) <= float(np.sin(np.radians(degrees)))
+
+
+def misfit(mark_fit: Column, size_ratios: Column) -> Column:
+    """How badly a placement fits: the mark's error and every size's distance from what it should be."""
+    return mark_fit + F.aggregate(size_ratios, F.lit(0.0), lambda s, r: s + F.abs(F.log(r)))
+
+
+def inverse(h: np.ndarray) -> np.ndarray:
+    """The homography back."""
+    out = np.linalg.inv(h)
+    return out / out[2, 2]
+
+
+def composed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """One homography for two in turn."""
+    out = then @ first
+    return out / out[2, 2]
 
 
 def inside_polygon(x: Column, y: Column, corners: Column) -> Column:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .paging import by_page
-
 # How far a box reaches, in heights, and the largest cluster that may stand apart.
 COLUMN_REACH, ROW_REACH, APART_AT_MOST = 1.5, 1.0, 3
 
@@ -46,21 +42,24 @@ def reach_edges(boxes: DataFrame) -> DataFrame:
 
 
 def reach_components(boxes: DataFrame) -> DataFrame:
-    """(page_id, box_id, component): connected boxes, named by their least id; a page is one group of tens of boxes."""
-
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        h = max(float(np.sort((page.b - page.t).to_numpy())[len(page) // 2]), 1.0)
-        l, t, r, b = (page[c].to_numpy() for c in "ltrb")
-        dx, dy = COLUMN_REACH * h, ROW_REACH * h
-        near = (l[:, None] - dx < r + dx) & (l - dx < r[:, None] + dx) & (t[:, None] - dy < b + dy) & (t - dy < b[:, None] + dy)
-        name = page.box_id.to_numpy().copy()
-        while True:
-            least = np.where(near, name, name.max()).min(axis=1)
-            if (least == name).all():
-                return pd.DataFrame({"page_id": page.page_id, "box_id": page.box_id, "component": name})
-            name = least
-
-    return by_page(boxes, group, "page_id long, box_id int, component int")
+    """(page_id, box_id, component): connected boxes, named by their least id; a page has tens of boxes.
+
+    A fold over the page's boxes: each one joins all groups that hold a box in its reach.
+    """
+    one = F.struct("box_id", "l", "t", "r", "b")
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("rows"), F.greatest(upper_median(F.collect_list(F.col("b") - F.col("t"))), F.lit(1.0)).alias("h"))
+    dx, dy = 2 * COLUMN_REACH * F.col("h"), 2 * ROW_REACH * F.col("h")
+    near = lambda p, q: (p["l"] - q["r"] < dx) & (q["l"] - p["r"] < dx) & (p["t"] - q["b"] < dy) & (q["t"] - p["b"] < dy)
+    kind = "array<array<struct<box_id:int,l:double,t:double,r:double,b:double>>>"
+
+    def place(groups: Column, x: Column) -> Column:
+        met = F.transform(groups, lambda g: F.struct(g.alias("g"), F.exists(g, lambda q: near(x, q)).alias("hit")))
+        take = lambda hit: F.transform(F.filter(met, lambda m: m["hit"] == hit), lambda m: m["g"])
+        return F.concat(take(F.lit(False)), F.array(F.concat(F.flatten(take(F.lit(True))), F.array(x))))
+
+    folded = pages.select("page_id", F.explode(F.aggregate("rows", F.array().cast(kind), place)).alias("g"))
+    ids = F.transform("g", lambda x: x["box_id"])
+    return folded.select("page_id", F.explode(ids).alias("box_id"), F.array_min(ids).alias("component"))
 
 
 def apart(components: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ def by_page(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], s
             if batch.empty:
                 continue
             last = batch[key].iloc[-1]
-            whole, held = batch[batch[key] != last], batch[batch[key] == last]
-            out = [function(page) for _, page in whole.groupby(key, sort=False)]
+            same = batch[key].isna() if pd.isna(last) else batch[key] == last  # a null key is a page like others
+            whole, held = batch[~same], batch[same]
+            out = [function(page) for _, page in whole.groupby(key, sort=False, dropna=False)]
             if out:
                 yield pd.concat(out, ignore_index=True)
         if held is not None and len(held):

@@ -45,6 +45,12 @@ def select_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cand.select(ad.reads(spark, sf_dir), ad.candidates(spark, sf_dir), ad.vocabulary(spark, sf_dir), 0.2, 0.01)
 
 
+@query
+def select_outcomes(spark, sf_dir):
+    """Selection over short rankings: some reads have no candidate, some words are outside the ranking."""
+    return cand.select(ad.reads(spark, sf_dir), ad.candidates(spark, sf_dir).where("p >= 0.25"), ad.vocabulary(spark, sf_dir), 0.2, 0.01)
+
+
 @query
 def weighted_distances(spark, sf_dir):
     return cand.pair_distances(ad.reads(spark, sf_dir), ad.vocabulary(spark, sf_dir)).drop("word_id")
@@ -338,7 +344,7 @@ def identity_map(spark, sf_dir):
 def prefix_lookup(spark, sf_dir):
     words = ad.vocabulary(spark, sf_dir)
     prefixes = words.select(F.substring("word", 1, 1).alias("prefix")).distinct()
-    return prefixes.join(F.broadcast(words), F.startswith("word", "prefix")).groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+    return prefixes.join(words, F.substring("word", 1, 1) == F.col("prefix")).groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
 
 
 @query

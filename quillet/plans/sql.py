@@ -33,6 +33,27 @@ scored AS (SELECT r.*, d.d, CASE WHEN p = 0 THEN '-inf'::DOUBLE ELSE log10(p) -
   FROM ranked r JOIN (SELECT page_id, box_id, {_NORMAL} AS read FROM reads) x USING (page_id, box_id) JOIN distances d ON d.read = x.read AND d.word_id = r.word_id)"""
 _BASE = f"WITH {READS}, {VOCABULARY}, {CANDIDATES}, {_DISTANCES}, {_RANKED}"
 
+
+
+def _selection(ranking: str) -> str:
+    """Candidate selection over a table of rankings: every read has a row."""
+    return f"""WITH {READS}, {VOCABULARY}, {CANDIDATES}, {_DISTANCES},
+ranked AS (SELECT *, row_number() OVER o AS model_rank, lead(p) OVER o AS next_p, count(*) OVER (PARTITION BY page_id, box_id) AS n FROM {ranking} WINDOW o AS (PARTITION BY page_id, box_id ORDER BY p DESC, word_id)),
+x AS (SELECT page_id, box_id, {_NORMAL} AS read FROM reads),
+tops AS (SELECT page_id, box_id, word_id AS top_id, p AS top_p, p - next_p AS top_margin, n FROM ranked WHERE model_rank = 1),
+scored AS (SELECT r.page_id, r.box_id, r.word_id, CASE WHEN p = 0 THEN '-inf'::DOUBLE ELSE log10(p) - d.d END AS score, p, d.d FROM ranked r JOIN x USING (page_id, box_id) JOIN distances d ON d.read = x.read AND d.word_id = r.word_id),
+joint AS (SELECT *, row_number() OVER o AS k, lead(score) OVER o AS next_score FROM scored WINDOW o AS (PARTITION BY page_id, box_id ORDER BY score DESC, p DESC, d, word_id)),
+chosen AS (
+  SELECT x.page_id, x.box_id, read, e.word_id AS exact_id, top_p, top_margin, n, j.score, j.next_score,
+    CASE WHEN e.word_id IS NOT NULL THEN e.word_id WHEN top_p > 0 THEN CASE WHEN read = '' THEN top_id ELSE j.word_id END END AS word_id
+  FROM x LEFT JOIN vocabulary e ON e.word = read LEFT JOIN tops t ON t.page_id = x.page_id AND t.box_id = x.box_id LEFT JOIN (SELECT * FROM joint WHERE k = 1) j ON j.page_id = x.page_id AND j.box_id = x.box_id)
+SELECT c.page_id, c.box_id, v.word, CASE WHEN exact_id IS NOT NULL THEN 'exact_text' WHEN c.word_id IS NULL THEN NULL WHEN read = '' OR c.n <= 1 THEN 'model_fallback' ELSE 'joint' END AS branch,
+  CAST(r.model_rank AS INTEGER) AS support_rank, round(r.p, 6) AS support_p, round(top_margin, 6) AS margin,
+  CASE WHEN c.word_id IS NULL THEN 'no_candidate' WHEN r.model_rank IS NULL THEN 'unavailable' WHEN r.model_rank <> 1 THEN 'disagreement' WHEN exact_id IS NULL AND read <> '' AND score = next_score THEN 'joint_tie'
+    WHEN top_p >= 0.2 AND top_margin >= 0.01 THEN 'accepted' ELSE 'insufficient' END AS confirmation
+FROM chosen c LEFT JOIN vocabulary v ON v.word_id = c.word_id LEFT JOIN ranked r ON r.page_id = c.page_id AND r.box_id = c.box_id AND r.word_id = c.word_id"""
+
+
 _SYMBOLS = "=#ABCDEFGHIJKLMNOPQRSTUVWXYZ-"
 _BOOK = f"""
 letters AS (SELECT word_id, word, list_transform(range(1, 5), lambda i: instr('{_SYMBOLS}', substr(rpad(upper(substr(word, 1, 4)), 4, '-'), CAST(i AS INTEGER), 1)) - 1) AS s FROM vocabulary),
@@ -69,17 +90,8 @@ _ENCODED = "[" + ", ".join(map(str, ENCODED)) + "]"
 ORACLES = {
     "weighted_distances": f"WITH {READS}, {VOCABULARY}, {_DISTANCES} SELECT read, word, d FROM distances",
     "near_list": f"WITH {READS}, {VOCABULARY}, {_DISTANCES} SELECT read, word, d, d <= 3 AS near FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY d, word_id) AS k FROM distances) WHERE k = 1",
-    "select_candidates": f"""{_BASE},
-everything AS (
-  SELECT r.*, x.read, e.word_id AS exact_id, d.d, CASE WHEN e.word_id IS NULL AND d.d IS NOT NULL THEN CASE WHEN p = 0 THEN '-inf'::DOUBLE ELSE log10(p) - d.d END END AS score
-  FROM ranked r JOIN (SELECT page_id, box_id, {_NORMAL} AS read FROM reads) x USING (page_id, box_id)
-  LEFT JOIN vocabulary e ON e.word = x.read LEFT JOIN distances d ON d.read = x.read AND d.word_id = r.word_id),
-placed AS (SELECT *, row_number() OVER o AS joint_rank, lead(score) OVER o AS next_score, max(p) OVER g AS top_p, max(margin) OVER g AS top_margin
-  FROM everything WINDOW g AS (PARTITION BY page_id, box_id), o AS (PARTITION BY page_id, box_id ORDER BY score DESC NULLS LAST, p DESC, d, word_id))
-SELECT page_id, box_id, word, CASE WHEN exact_id IS NOT NULL THEN 'exact_text' WHEN read = '' THEN 'model_fallback' ELSE 'joint' END AS branch,
-  CAST(model_rank AS INTEGER) AS support_rank, round(p, 6) AS support_p, round(top_margin, 6) AS margin,
-  CASE WHEN model_rank <> 1 THEN 'disagreement' WHEN score = next_score THEN 'joint_tie' WHEN top_p >= 0.2 AND top_margin >= 0.01 THEN 'accepted' ELSE 'insufficient' END AS confirmation
-FROM placed JOIN vocabulary USING (word_id) WHERE CASE WHEN exact_id IS NOT NULL THEN word_id = exact_id ELSE joint_rank = 1 END""",
+    "select_candidates": _selection("candidates"),
+    "select_outcomes": _selection("(SELECT * FROM candidates WHERE p >= 0.25)"),
     "label_functions": f"""WITH {READS}, {_LITERALS},
 bodies AS (SELECT *, regexp_replace(trim(text), '[.:)\\]\\-_\\s]+$', '') AS body, ltrim(text) AS start, regexp_extract(text, '^([0-9{_SHAPED}|][0-9{_SHAPED}|]?)', 1) AS first_two FROM literals)
 SELECT row_id,
