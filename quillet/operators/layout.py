@@ -109,6 +109,18 @@ def axis_groups(boxes: DataFrame, axis: str = "x") -> DataFrame:
     return folded.select("page_id", F.posexplode("groups").alias("group_no", "g")).select("page_id", "group_no", F.transform(F.array_sort(F.col("g.m")), lambda m: m["id"]).alias("members"))
 
 
+def order_choice(boxes: DataFrame, numbered: Column) -> DataFrame:
+    """(page_id, n_columns, n_rows, initial, review, reason): numbers that hold decide, then traversals
+    that agree, then the longer dimension; one group more or less would tip a near tie, so it needs review."""
+    grouped = lambda axis, name: axis_groups(boxes, axis).groupBy("page_id").agg(F.count("*").alias(f"n_{name}"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "members"))), lambda g: g["members"])).alias(f"by_{name}"))
+    both = grouped("x", "columns").join(grouped("y", "rows"), "page_id")
+    c, r = F.col("n_columns"), F.col("n_rows")
+    same = F.col("by_columns") == F.col("by_rows")
+    initial = F.when(numbered, "numbers").when(same | (c >= r), "columns").otherwise("rows")
+    reason = F.when(numbered, "held_numbers").when(same, "same_traversal").when(c == r, "equal_dimensions").when(F.abs(c - r) <= 1, "near_tie").otherwise("longer_dimension")
+    return both.select("page_id", "n_columns", "n_rows", initial.alias("initial"), reason.isin("equal_dimensions", "near_tie").alias("review"), reason.alias("reason"))
+
+
 def nearest_right(boxes: DataFrame, max_label_width: float = 120.0, tie: float = 1.0) -> DataFrame:
     """(page_id, label_id, word_id): each narrow box with the wider box right of it on its row, if one is nearest alone."""
     a = boxes.where(F.col("r") - F.col("l") <= max_label_width).alias("a")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import codes, strings
@@ -226,11 +226,8 @@ def row_groups(spark, sf_dir):
 
 @query
 def order_choice(spark, sf_dir):
-    """Which way a page is read: by its longer dimension, with a review flag near a tie."""
-    n_columns = layout.axis_groups(ad.boxes(spark, sf_dir), "x").groupBy("page_id").agg(F.count("*").alias("n_columns"))
-    n_rows = layout.axis_groups(ad.boxes(spark, sf_dir), "y").groupBy("page_id").agg(F.count("*").alias("n_rows"))
-    c, r = F.col("n_columns"), F.col("n_rows")
-    return n_columns.join(n_rows, "page_id").select("page_id", "n_columns", "n_rows", F.when(c >= r, "columns").otherwise("rows").alias("initial"), (F.abs(c - r) <= 1).alias("review"))
+    """Which way a page is read first, why, and whether that needs a look."""
+    return layout.order_choice(ad.boxes(spark, sf_dir), F.pmod("page_id", F.lit(7)) == 0)
 
 
 @query
@@ -277,7 +274,7 @@ def hole_filling(spark, sf_dir):
 
 @query
 def numbering_fit(spark, sf_dir):
-    return sequences.fit_numbering(ad.labels(spark, sf_dir))
+    return sequences.fit_numbering(ad.numbered(spark, sf_dir))
 
 
 @query
@@ -303,9 +300,23 @@ def strict_rollup(spark, sf_dir):
     return sequences.latest_regions(ad.progress(spark, sf_dir), strict=True)
 
 
+@query
+def replaced_regions(spark, sf_dir):
+    """Roll-up with replacements: an excluded region gives way to a new one."""
+    p = ad.progress(spark, sf_dir)
+    swap = F.col("kind") == "excluded"
+    events = p.select(
+        "attempt_id", "seq", F.when(swap, "replaced").when(F.pmod("event_id", F.lit(97)) == 0, "failed").otherwise(F.col("kind")).alias("kind"), F.when(swap, F.col("seq") + 1000).otherwise(F.col("region_id")).alias("region_id"),
+        F.when(swap, F.array("region_id")).otherwise(F.array().cast("array<bigint>")).alias("parents"),
+    )
+    return sequences.latest_regions(events)
+
+
 @query
 def sequence_gaps(spark, sf_dir):
-    return sequences.sequence_gaps(ad.progress(spark, sf_dir).where("kind <> 'reading'"))
+    """Gaps in a sequence that counts on by event: ids of a user's events, in order."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.floor(F.col("event_id") / 50).alias("seq")).distinct()
+    return sequences.sequence_gaps(events)
 
 
 @query
@@ -350,10 +361,16 @@ def prefix_lookup(spark, sf_dir):
 @query
 def redact_vocabulary(spark, sf_dir):
     """Runs of three vocabulary words or more in any document are counted and struck out, never returned."""
-    words = ad.vocabulary(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list("word")), "|").alias("alternatives"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(words))  # one row
-    pattern = F.concat(F.lit(r"\b(?:(?:"), F.col("alternatives"), F.lit(r")[ ]){2,}(?:"), F.col("alternatives"), F.lit(r")\b"))
-    return docs.select("doc_id", F.regexp_count("text", pattern).cast("long").alias("runs"), F.md5(F.regexp_replace("text", pattern, F.lit("[redacted]"))).alias("redacted_md5"))
+    docs, key = table(spark, sf_dir, "documents").select("doc_id", "text"), F.md5("text")
+    # runs follow from the text alone, so equal texts are looked at once
+    tokens = docs.select(key.alias("key"), "text").dropDuplicates(["key"]).select("key", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    known = tokens.join(ad.vocabulary(spark, sf_dir).select("word"), "word").withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("key").orderBy("pos")))
+    runs = known.groupBy("key", "island").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("high - low >= 2")
+    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    found = docs.withColumn("key", key).join(runs, "key", "left")
+    inside = lambda i: F.filter("spans", lambda r: (r["low"] <= i) & (i <= r["high"]))
+    words = F.transform(F.split("text", " "), lambda w, i: F.when(F.size(inside(i)) == 0, w).when(inside(i)[0]["low"] == i, F.lit("[redacted]")))
+    return found.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("runs"), F.md5(F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(words, " "))).alias("redacted_md5"))
 
 
 @query

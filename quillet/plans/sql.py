@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillet.functions.marks import ENCODED
-from quillet.sources.adapters import BOXES, CANDIDATES, CELLS, LABELS, PROGRESS, READS, VOCABULARY
+from quillet.sources.adapters import BOXES, CANDIDATES, CELLS, LABELS, NUMBERED, PROGRESS, READS, VOCABULARY
 
 _NORMAL = "regexp_replace(lower(literal), '[^a-z]', '', 'g')"
 
@@ -78,10 +78,71 @@ _PADDED = f"""
 scale AS (SELECT page_id, greatest({_MEDIAN}, 1.0) AS h FROM boxes GROUP BY page_id),
 padded AS (SELECT page_id, box_id, l - 1.5 * h AS l, r + 1.5 * h AS r, t - h AS t, b + h AS b FROM boxes JOIN scale USING (page_id)),
 edges AS (SELECT p.page_id, p.box_id AS a, q.box_id AS b FROM padded p JOIN padded q ON p.page_id = q.page_id AND p.box_id < q.box_id AND p.l < q.r AND q.l < p.r AND p.t < q.b AND q.t < p.b)"""
-_ROLLUP = """
-ends AS (SELECT attempt_id, min(seq) AS stop FROM progress WHERE kind = 'completed' GROUP BY attempt_id),
-joined AS (SELECT p.*, seq > stop AS late FROM progress p LEFT JOIN ends USING (attempt_id)),
-rollup AS (SELECT attempt_id, region_id, arg_max(kind, seq) AS state, max(seq) AS seq FROM joined WHERE kind <> 'completed' AND coalesce(NOT late, true) GROUP BY ALL)"""
+
+
+def _rollup(source: str = "progress", parents: str = "") -> str:
+    return f"""
+ends AS (SELECT attempt_id, min(seq) AS stop, arg_min(kind, seq) AS how FROM {source} WHERE kind IN ('completed', 'failed') GROUP BY attempt_id),
+joined AS (SELECT p.*, how, coalesce(p.seq > stop, false) AS late FROM {source} p LEFT JOIN ends USING (attempt_id)),
+live AS (SELECT * FROM joined WHERE NOT late AND kind NOT IN ('completed', 'failed')),
+gone AS (SELECT attempt_id, region_id, min(seq) AS gone FROM (SELECT attempt_id, region_id, seq FROM live WHERE kind = 'removed' {parents}) GROUP BY ALL),
+marked AS (SELECT l.*, gone FROM live l LEFT JOIN gone g ON g.attempt_id = l.attempt_id AND g.region_id = l.region_id),
+rollup AS (SELECT attempt_id, region_id, replace(arg_max(kind, seq), 'replaced', 'found') AS state, max(seq) AS seq FROM marked WHERE gone IS NULL AND how IS DISTINCT FROM 'failed' GROUP BY ALL)"""
+
+
+_ROLLUP = _rollup()
+
+
+def _folded(low: str, high: str, cross: str, name: str) -> str:
+    """Axis groups by a recursive fold over a page's boxes in order of their starts."""
+    return f"""
+{name}_order AS (SELECT page_id, box_id, {low} AS lo, {high} AS hi, ({low} + {high}) / 2 AS c, {cross} AS o, row_number() OVER (PARTITION BY page_id ORDER BY {low}, box_id) AS k FROM boxes),
+{name}_fold AS (
+  SELECT page_id, 0::BIGINT AS k, []::STRUCT(lo DOUBLE, hi DOUBLE, m STRUCT(o DOUBLE, id INTEGER)[])[] AS g FROM boxes GROUP BY page_id
+  UNION ALL
+  SELECT f.page_id, x.k, CASE WHEN len(list_filter(f.g, lambda q: x.c >= q.lo AND x.c <= q.hi)) = 0 THEN list_append(f.g, {{'lo': x.lo, 'hi': x.hi, 'm': [{{'o': x.o, 'id': x.box_id}}]}})
+    ELSE list_transform(f.g, lambda q, i: CASE WHEN i = list_position(list_transform(f.g, lambda z: x.c >= z.lo AND x.c <= z.hi), true)
+      THEN {{'lo': least(q.lo, x.lo), 'hi': greatest(q.hi, x.hi), 'm': list_append(q.m, {{'o': x.o, 'id': x.box_id}})}} ELSE q END) END
+  FROM {name}_fold f JOIN {name}_order x ON x.page_id = f.page_id AND x.k = f.k + 1),
+{name}_last AS (SELECT page_id, list_sort(arg_max(g, k)) AS g FROM {name}_fold GROUP BY page_id),
+{name}_groups AS (SELECT page_id, generate_subscripts(g, 1) - 1 AS group_no, list_transform(list_sort(unnest(g).m), lambda m: m.id) AS members FROM {name}_last)"""
+
+
+_COLUMNS, _ROWS = _folded("l", "r", "(t + b) / 2", "columns"), _folded("t", "b", "(l + r) / 2", "rows")
+_GROUPS = "CAST(group_no AS INTEGER) AS group_no, array_to_string(members, ',') AS members"
+_FIT = """
+v AS (SELECT * FROM page_labels WHERE kind = 'exact'),
+odd AS (SELECT page_id, count(*) FILTER (a.pos < b.pos AND a.n > b.n) AS by_pos, count(*) FILTER (a.row_pos < b.row_pos AND a.n > b.n) AS by_row FROM v a JOIN v b USING (page_id) GROUP BY page_id),
+placed AS (SELECT p.page_id, CASE WHEN coalesce(by_row < by_pos, false) THEN row_pos ELSE pos END AS pos, kind, n FROM page_labels p LEFT JOIN odd ON odd.page_id = p.page_id),
+x AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM placed WHERE kind = 'exact'),
+page AS (SELECT page_id, count(*) AS boxes, count(*) FILTER (kind = 'exact') AS exact, count(DISTINCT n) FILTER (kind = 'exact') AS different, max(n) FILTER (kind = 'exact') AS highest FROM placed GROUP BY page_id),
+lengths AS (SELECT page_id, i, n, 1 AS size FROM x UNION SELECT b.page_id, b.i, b.n, a.size + 1 FROM lengths a JOIN x b ON b.page_id = a.page_id AND b.i > a.i AND b.n > a.n),
+best AS (SELECT page_id, i, n, max(size) AS size FROM lengths GROUP BY ALL),
+path AS (SELECT page_id, i, n, size FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY size DESC, i) AS k FROM best) WHERE k = 1
+  UNION ALL SELECT page_id, i, n, size FROM (SELECT b.*, row_number() OVER (PARTITION BY p.page_id, p.i ORDER BY b.i) AS k FROM path p JOIN best b ON b.page_id = p.page_id AND b.i < p.i AND b.n < p.n AND b.size = p.size - 1) WHERE k = 1),
+state AS (SELECT page.*, coalesce(len, 0) AS len, CASE WHEN exact < 8 THEN 'none' WHEN different < exact OR highest > 2 * greatest(boxes, 12) OR len < 8 THEN 'inconsistent' ELSE 'held' END AS status,
+  CASE WHEN exact >= 8 THEN CASE WHEN different < exact THEN 'duplicate' WHEN highest > 2 * greatest(boxes, 12) THEN 'too_high' WHEN len < 8 THEN 'out_of_order' END END AS reason
+  FROM page LEFT JOIN (SELECT page_id, count(*) AS len FROM path GROUP BY page_id) r ON r.page_id = page.page_id),
+anchors AS (SELECT path.page_id, x.pos AS place, path.n FROM path JOIN x ON x.page_id = path.page_id AND x.i = path.i JOIN state s ON s.page_id = path.page_id AND status = 'held'
+  UNION ALL SELECT page_id, -1, 0 FROM state WHERE status = 'held'),
+spans AS (SELECT page_id, place AS start, n AS low, lead(place) OVER o AS stop, lead(n) OVER o AS high FROM anchors WINDOW o AS (PARTITION BY page_id ORDER BY n)),
+room AS (SELECT s.*, list_filter(range(low + 1, high), lambda k: NOT list_contains(vs, k)) AS holes, coalesce(list_sort(free), []) AS between FROM spans s JOIN (SELECT page_id, list(n) AS vs FROM x GROUP BY page_id) USING (page_id)
+  LEFT JOIN (SELECT s.page_id, s.start, list(p.pos) AS free FROM spans s JOIN placed p ON p.page_id = s.page_id AND p.n IS NULL AND p.pos > s.start AND p.pos < s.stop GROUP BY ALL) f ON f.page_id = s.page_id AND f.start = s.start WHERE high IS NOT NULL),
+filled AS (SELECT * FROM room WHERE len(holes) > 0 AND len(holes) = len(between)),
+ends AS (SELECT page_id, max(place) AS place, max(n) AS n FROM anchors GROUP BY page_id),
+tail AS (SELECT p.page_id, p.pos, e.n + row_number() OVER (PARTITION BY p.page_id ORDER BY p.pos) AS next, p.n IS NULL AND coalesce(kind = 'shaped', false) AS ok FROM placed p JOIN ends e ON e.page_id = p.page_id AND p.pos > e.place),
+run_on AS (SELECT page_id, pos, next FROM (SELECT t.*, bool_and(ok AND x.n IS NULL) OVER (PARTITION BY t.page_id ORDER BY t.pos) AS goes FROM tail t LEFT JOIN x ON x.page_id = t.page_id AND x.n = t.next) WHERE goes),
+numbered AS (SELECT page_id, n AS number, pos FROM x UNION ALL SELECT page_id, unnest(holes), unnest(between) FROM filled UNION ALL SELECT page_id, next, pos FROM run_on),
+totals AS (SELECT s.page_id, CAST(greatest(max(highest), coalesce(max(next), 0)) AS INTEGER) AS count FROM state s LEFT JOIN run_on r ON r.page_id = s.page_id WHERE status = 'held' GROUP BY s.page_id),
+held AS (SELECT page_id, list(number) AS all_numbers, list(pos) AS all_pos FROM numbered GROUP BY page_id),
+runs AS (SELECT page_id, list(n) AS members FROM path GROUP BY page_id),
+odd_ones AS (SELECT x.page_id, string_agg(CAST(x.n AS VARCHAR), ',' ORDER BY x.pos) AS t FROM x JOIN runs r ON r.page_id = x.page_id WHERE NOT list_contains(members, x.n) GROUP BY x.page_id),
+open_ones AS (SELECT p.page_id, string_agg(CAST(p.pos AS VARCHAR), ',' ORDER BY p.pos) AS t FROM placed p JOIN held h ON h.page_id = p.page_id WHERE p.kind IS NOT NULL AND NOT list_contains(all_pos, p.pos) GROUP BY p.page_id),
+lost AS (SELECT t.page_id, array_to_string(list_filter(range(1, t.count + 1), lambda k: NOT list_contains(all_numbers, k)), ',') AS t FROM totals t JOIN held h ON h.page_id = t.page_id)
+SELECT s.page_id, status, t.count, reason,
+  CASE WHEN status = 'held' THEN coalesce(l.t, '') END AS missing, CASE WHEN status = 'held' THEN coalesce(o.t, '') END AS out_of_place, CASE WHEN status = 'held' THEN coalesce(u.t, '') END AS unresolved
+FROM state s LEFT JOIN totals t ON t.page_id = s.page_id LEFT JOIN lost l ON l.page_id = s.page_id LEFT JOIN odd_ones o ON o.page_id = s.page_id LEFT JOIN open_ones u ON u.page_id = s.page_id"""
+
 _SHARES = """
 shares AS (SELECT p_partkey AS row_id, share_no, (p_partkey * 5 % 29 + p_partkey * 3 % 29 * share_no + CASE WHEN share_no = 3 AND p_partkey % 10 = 0 THEN 1 ELSE 0 END) % 29 AS symbol FROM part, (SELECT unnest([1, 2, 3]) AS share_no))"""
 
@@ -188,10 +249,25 @@ k AS (SELECT * FROM (SELECT *, lag(best) OVER (PARTITION BY line_id ORDER BY t)
 x AS (SELECT line_id, string_agg(CAST(best AS VARCHAR), '-' ORDER BY t) AS symbols, avg(p) AS confidence FROM k GROUP BY line_id)
 SELECT l.line_id, coalesce(symbols, '') AS symbols, round(coalesce(confidence, 0.0), 6) AS confidence FROM (SELECT DISTINCT line_id FROM s) l LEFT JOIN x ON x.line_id = l.line_id""",
     "progress_rollup": f"WITH {PROGRESS}, {_ROLLUP} SELECT * FROM rollup",
-    "visible_regions": f"WITH {PROGRESS}, {_ROLLUP} SELECT attempt_id, region_id FROM rollup WHERE state NOT IN ('excluded', 'removed')",
-    "strict_rollup": f"WITH {PROGRESS}, {_ROLLUP}, l AS (SELECT attempt_id, count(*) AS late FROM joined WHERE late GROUP BY attempt_id) SELECT r.*, coalesce(late, 0) AS late FROM rollup r LEFT JOIN l USING (attempt_id)",
-    "sequence_gaps": f"""WITH {PROGRESS}, g AS (SELECT attempt_id, coalesce(seq - lag(seq) OVER (PARTITION BY attempt_id ORDER BY seq), 1) <> 1 AS gap FROM progress WHERE kind <> 'reading')
+    "visible_regions": f"WITH {PROGRESS}, {_ROLLUP} SELECT attempt_id, region_id FROM rollup WHERE state <> 'excluded'",
+    "strict_rollup": f"""WITH {PROGRESS}, {_ROLLUP}, l AS (SELECT attempt_id, count(*) AS refused FROM (SELECT attempt_id FROM joined WHERE late UNION ALL SELECT attempt_id FROM marked WHERE seq > gone) GROUP BY attempt_id)
+SELECT r.*, coalesce(refused, 0) AS refused FROM rollup r LEFT JOIN l USING (attempt_id)""",
+    "replaced_regions": f"""WITH {PROGRESS}, changed AS (SELECT attempt_id, seq, CASE WHEN kind = 'excluded' THEN 'replaced' WHEN event_id % 97 = 0 THEN 'failed' ELSE kind END AS kind, CASE WHEN kind = 'excluded' THEN seq + 1000 ELSE region_id END AS region_id,
+  CASE WHEN kind = 'excluded' THEN region_id END AS parent FROM progress), {_rollup('changed', "UNION ALL SELECT attempt_id, parent, seq FROM live WHERE kind = 'replaced'")} SELECT * FROM rollup""",
+    "sequence_gaps": """WITH e AS (SELECT DISTINCT user_id AS attempt_id, event_id // 50 AS seq FROM events), g AS (SELECT attempt_id, coalesce(seq - lag(seq) OVER (PARTITION BY attempt_id ORDER BY seq), 1) <> 1 AS gap FROM e)
 SELECT attempt_id, count(*) AS rows, CAST(sum(CASE WHEN gap THEN 1 ELSE 0 END) AS BIGINT) AS gaps FROM g GROUP BY attempt_id""",
+    "numbering_fit": f"WITH RECURSIVE {PROGRESS}, {NUMBERED}, {_FIT}",
+    "column_groups": f"WITH RECURSIVE {BOXES}, {_COLUMNS} SELECT page_id, {_GROUPS} FROM columns_groups",
+    "row_groups": f"WITH RECURSIVE {BOXES}, {_ROWS} SELECT page_id, {_GROUPS} FROM rows_groups",
+    "order_choice": f"""WITH RECURSIVE {BOXES}, {_COLUMNS}, {_ROWS},
+c AS (SELECT page_id, count(*) AS n_columns, string_agg(array_to_string(members, ','), ',' ORDER BY group_no) AS a FROM columns_groups GROUP BY page_id), r AS (SELECT page_id, count(*) AS n_rows, string_agg(array_to_string(members, ','), ',' ORDER BY group_no) AS b FROM rows_groups GROUP BY page_id),
+w AS (SELECT page_id, n_columns, n_rows, CASE WHEN page_id % 7 = 0 THEN 'held_numbers' WHEN a = b THEN 'same_traversal' WHEN n_columns = n_rows THEN 'equal_dimensions' WHEN abs(n_columns - n_rows) <= 1 THEN 'near_tie' ELSE 'longer_dimension' END AS reason FROM c JOIN r USING (page_id))
+SELECT page_id, n_columns, n_rows, CASE WHEN reason = 'held_numbers' THEN 'numbers' WHEN reason = 'same_traversal' OR n_columns >= n_rows THEN 'columns' ELSE 'rows' END AS initial, reason IN ('equal_dimensions', 'near_tie') AS review, reason FROM w""",
+    "redact_vocabulary": f"""WITH {VOCABULARY}, docs AS (SELECT row_number() OVER () AS id, doc_id, string_split(text, ' ') AS words FROM documents),
+tokens AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs), known AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS island FROM tokens JOIN vocabulary USING (word)),
+runs AS (SELECT id, min(pos) AS low, max(pos) AS high FROM known GROUP BY id, island HAVING count(*) >= 3),
+struck AS (SELECT t.id, t.pos, CASE WHEN r.low IS NULL THEN t.word WHEN r.low = t.pos THEN '[redacted]' END AS word FROM tokens t LEFT JOIN runs r ON r.id = t.id AND t.pos BETWEEN r.low AND r.high)
+SELECT any_value(doc_id) AS doc_id, (SELECT count(*) FROM runs WHERE runs.id = d.id) AS runs, md5(string_agg(s.word, ' ' ORDER BY s.pos)) AS redacted_md5 FROM docs d JOIN struck s USING (id) GROUP BY d.id""",
     "timing_rollup": "SELECT event_type, count(*) AS calls, round(sum(value), 2) AS ms FROM events GROUP BY event_type",
     "line_fits": f"""WITH {BOXES}, a AS (SELECT *, radians((l + t) % 180) AS a FROM boxes)
 SELECT page_id, round(regr_slope(t, l), 4) AS slope, round(regr_intercept(t, l), 3) AS intercept, round(atan2(sum(sin(2 * a)), sum(cos(2 * a))) / 2, 4) AS axis FROM a GROUP BY page_id HAVING count(DISTINCT l) > 1""",

@@ -73,11 +73,12 @@ boxes AS (SELECT page_id, box_id, l, t, l + 80 + 2 * q AS r, t + 24 + s % 9 AS b
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, pos, kind, n): the turns of a conversation as printed numbers, some out of order or unread."""
+    """(page_id, pos, row_pos, kind, n): the turns of a conversation as printed numbers, some out of order or unread; row_pos is the place in the other traversal."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("k"))
     off = F.pmod(F.col("conv_id") * 5 + F.col("k") * 3, F.lit(11))
+    other = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.pmod(F.col("k") - 1, F.lit(2)), "k"))
     return turns.select(
-        F.col("conv_id").alias("page_id"), F.col("k").alias("pos"), F.when(off == 0, F.lit(None)).when(off == 1, "shaped").otherwise("exact").alias("kind"),
+        F.col("conv_id").alias("page_id"), F.col("k").alias("pos"), other.alias("row_pos"), F.when(off == 0, F.lit(None)).when(off == 1, "shaped").otherwise("exact").alias("kind"),
         F.when(off > 1, F.when(off == 2, F.col("k") + 1).otherwise(F.col("k"))).cast("int").alias("n"),
     )
 
@@ -85,7 +86,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = """
 turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
 labelled AS (SELECT conv_id AS page_id, CAST(k AS INTEGER) AS pos, (conv_id * 5 + k * 3) % 11 AS off FROM turns),
-page_labels AS (SELECT page_id, pos, CASE WHEN off = 0 THEN NULL WHEN off = 1 THEN 'shaped' ELSE 'exact' END AS kind,
+page_labels AS (SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY (pos - 1) % 2, pos) AS INTEGER) AS row_pos, CASE WHEN off = 0 THEN NULL WHEN off = 1 THEN 'shaped' ELSE 'exact' END AS kind,
   CASE WHEN off > 1 THEN CASE WHEN off = 2 THEN pos + 1 ELSE pos END END AS n FROM labelled)"""
 
 
@@ -112,3 +113,19 @@ PROGRESS = """
 progress AS (SELECT user_id AS attempt_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq,
   CASE event_type WHEN 'view' THEN 'found' WHEN 'click' THEN 'reading' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'excluded' ELSE 'removed' END AS kind,
   event_id % 12 AS region_id, event_id, value FROM events)"""
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, row_pos, kind, n): a user's events, sixteen a page, as printed numbers; some unread, some out of order."""
+    events = progress(spark, sf_dir).select((F.col("attempt_id") * 1000 + F.floor((F.col("seq") - 1) / 16)).alias("page_id"), F.pmod(F.col("seq") - 1, F.lit(16)).alias("pos"), "event_id")
+    off = F.pmod(F.col("event_id") * 7 + F.col("pos"), F.lit(13))
+    page = Window.partitionBy("page_id").orderBy(F.pmod("pos", F.lit(2)), "pos")
+    number = F.when((off == 2) & (F.pmod("page_id", F.lit(3)) == 0), F.pmod(F.col("pos") * 5, F.lit(16)) + 1).otherwise(F.col("pos") + 1)
+    return events.select("page_id", "pos", F.row_number().over(page).alias("row_pos"), F.when(off == 0, F.lit(None)).when(off == 1, "shaped").otherwise("exact").alias("kind"), F.when(off > 1, number).cast("int").alias("n"))
+
+
+NUMBERED = """
+events16 AS (SELECT attempt_id * 1000 + (seq - 1) // 16 AS page_id, (seq - 1) % 16 AS pos, event_id FROM progress),
+offs AS (SELECT *, (event_id * 7 + pos) % 13 AS off FROM events16),
+page_labels AS (SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos % 2, pos) AS INTEGER) AS row_pos, CASE WHEN off = 0 THEN NULL WHEN off = 1 THEN 'shaped' ELSE 'exact' END AS kind,
+  CAST(CASE WHEN off > 1 THEN CASE WHEN off = 2 AND page_id % 3 = 0 THEN pos * 5 % 16 + 1 ELSE pos + 1 END END AS INTEGER) AS n FROM offs)"""

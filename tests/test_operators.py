@@ -90,17 +90,39 @@ def test_axis_groups_against_a_plain_loop(spark):
     assert got == want
 
 
-def test_numbering_cases():
-    fit = sequences.fit_page
-    assert fit(["exact"] * 7, list(range(1, 8)))[0] == "none"
-    assert fit(["exact"] * 9, [1, 2, 3, 4, 5, 5, 7, 8, 9])[0] == "inconsistent"
-    assert fit(["exact"] * 8, list(range(8, 0, -1)))[0] == "inconsistent"
-    assert fit(["exact"] * 8, [1, 2, 3, 4, 5, 6, 7, 60])[0] == "inconsistent"
-    kinds = ["exact"] * 4 + ["shaped"] + ["exact"] * 4 + ["shaped", None]
-    status, count, lost, odd, _ = fit(kinds, [1, 2, 3, 4, None, 6, 7, 8, 9, None, None])
-    assert (status, count, lost, odd) == ("held", 10, [], [])
-    kinds = ["exact"] * 6 + [None, None] + ["exact"] * 3
-    assert fit(kinds, [1, 2, 3, 4, 5, 6, None, None, 8, 9, 10])[2] == [7]
+def test_numbering_cases(spark):
+    cases = [
+        (["exact"] * 7, list(range(1, 8))), (["exact"] * 9, [1, 2, 3, 4, 5, 5, 7, 8, 9]), (["exact"] * 8, list(range(8, 0, -1))), (["exact"] * 8, [1, 2, 3, 4, 5, 6, 7, 60]),
+        (["exact"] * 4 + ["shaped"] + ["exact"] * 4 + ["shaped", None], [1, 2, 3, 4, None, 6, 7, 8, 9, None, None]), (["exact"] * 6 + [None, None] + ["exact"] * 3, [1, 2, 3, 4, 5, 6, None, None, 8, 9, 10]),
+        (["exact"] * 10 + ["shaped", None], [1, 2, 3, 9, 4, 5, 6, 7, 8, 10, None, None]),
+    ]
+    rows = [(p, k, kind, n) for p, (kinds, numbers) in enumerate(cases) for k, (kind, n) in enumerate(zip(kinds, numbers))]
+    out = {r.page_id: r for r in sequences.fit_numbering(spark.createDataFrame(rows, "page_id long, pos int, kind string, n int")).collect()}
+    assert [out[p].status for p in range(7)] == ["none", "inconsistent", "inconsistent", "inconsistent", "held", "held", "held"]
+    assert [out[p].reason for p in range(4)] == [None, "duplicate", "out_of_order", "too_high"]
+    assert (out[4]["count"], out[4].missing, out[4].out_of_place, out[4].unresolved) == (10, "", "", "")
+    assert out[5].missing == "7"
+    assert (out[6]["count"], out[6].out_of_place) == (11, "9")
+    # the other traversal has fewer inversions
+    turned = [(0, 9 - k, k, "exact", k + 1) for k in range(9)]
+    assert sequences.fit_numbering(spark.createDataFrame(turned, "page_id long, pos int, row_pos int, kind string, n int")).first().status == "held"
+
+
+def test_longest_rising_against_all_runs(spark):
+    from itertools import combinations
+
+    draw = random.Random(8)
+    rows = [(k, draw.sample(range(1, 30), draw.randrange(1, 9))) for k in range(60)]
+    out = spark.createDataFrame(rows, "k int, v array<int>").select("k", sequences.longest_rising(F.col("v")).alias("run")).collect()
+    for r in out:
+        v = rows[r.k][1]
+        longest = max(n for n in range(1, len(v) + 1) for c in combinations(v, n) if list(c) == sorted(c))
+        assert len(r.run) == longest and r.run == sorted(r.run) and [x for x in v if x in r.run] == r.run
+
+
+def test_null_pages_are_kept(spark):
+    boxes = spark.createDataFrame([(None, 0, 0.0, 0.0, 9.0, 9.0), (None, 1, 500.0, 0.0, 509.0, 9.0), (1, 0, 0.0, 0.0, 9.0, 9.0)], "page_id long, box_id int, l double, t double, r double, b double")
+    assert layout.reach_components(boxes).count() == 3
 
 
 def test_ctc(spark):
