@@ -22,10 +22,17 @@ def query(f):
 
 
 def queries() -> dict:
+    _more()
     return dict(QUERIES)
 
 
+def _more() -> None:
+    """The queries of the other modules, which register themselves."""
+    from quillet.plans import evidence, rasters, tracks, traversal  # noqa: F401
+
+
 def oracle_sql() -> dict[str, str]:
+    _more()
     return {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
 
 

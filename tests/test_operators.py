@@ -163,3 +163,28 @@ def test_geometry(spark):
     assert (got.p, got.q) == (True, False)
     mixed = df.select(geometry.clockwise(F.reverse("a")).alias("c")).first().c
     assert [(c.x, c.y) for c in mixed] == quad(0.0, 0.0)
+
+
+def test_hull_and_rectangle_against_plain_loops(spark):
+    import numpy as np
+
+    from quillet.functions import geometry
+
+    draw = random.Random(5)
+    clouds = [[(float(draw.randrange(20)), float(draw.randrange(20))) for _ in range(draw.randrange(3, 14))] for _ in range(40)] + [[(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(clouds)], "k int, p array<struct<x:double,y:double>>").withColumn("h", geometry.convex_hull(F.col("p")))
+    for r in df.withColumn("m", geometry.minimal_rectangle(F.col("h"))).withColumn("d", geometry.outside_distance(F.lit(40.0), F.lit(10.0), F.col("h"))).collect():
+        points = sorted(set(clouds[r.k]))
+        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        corners = [p for p in points if any(all(cross(p, q, z) > 0 or z in (p, q) or cross(p, q, z) == 0 and (z[0] - p[0]) * (z[0] - q[0]) + (z[1] - p[1]) * (z[1] - q[1]) <= 0 for z in points) for q in points if q != p)]
+        got = [(c.x, c.y) for c in r.h]
+        if all(cross(points[0], points[-1], z) == 0 for z in points):
+            continue
+        assert sorted(got) == sorted(corners) and got[0] == points[0]
+        best = min((np.ptp(a) * np.ptp(b), 0) for p, q in zip(got, got[1:] + got[:1]) for u in [np.subtract(q, p) / np.hypot(*np.subtract(q, p))] for a, b in [(np.array(got) @ u, np.array(got) @ np.array([-u[1], u[0]]))])[0]
+        assert abs(r.m.area - best) < 1e-6
+        assert r.d > 15
+    ring = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)],)], "p array<struct<x:double,y:double>>").select(geometry.unclipped(F.col("p"), F.lit(1.0)).alias("u")).first().u
+    assert len(ring) == 64 and max(c.x for c in ring) == 5.0 and min(c.y for c in ring) == -1.0
+    h = geometry.homography([(0, 0), (10, 0), (10, 10), (0, 10)], [(1, 1), (21, 3), (19, 22), (0, 20)])
+    assert np.allclose(geometry.composed(h, geometry.inverse(h)), np.eye(3), atol=1e-9)
