@@ -58,11 +58,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and runs in one process (tests, bench.py) is a temporary folder
+    set; a cluster without the setting is an error, since its machines would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(context, "_quillet_shared", None) or "file://" + tempfile.mkdtemp(prefix="quillet_shared_")
         context._quillet_shared = found
     return found.rstrip("/")
