@@ -52,10 +52,13 @@ def reach_components(boxes: DataFrame) -> DataFrame:
     near = lambda p, q: (p["l"] - q["r"] < dx) & (q["l"] - p["r"] < dx) & (p["t"] - q["b"] < dy) & (q["t"] - p["b"] < dy)
     kind = "array<array<struct<box_id:int,l:double,t:double,r:double,b:double>>>"
 
+    state = lambda rest, met: F.struct(rest.alias("rest"), met.alias("met"))
+
     def place(groups: Column, x: Column) -> Column:
-        met = F.transform(groups, lambda g: F.struct(g.alias("g"), F.exists(g, lambda q: near(x, q)).alias("hit")))
-        take = lambda hit: F.transform(F.filter(met, lambda m: m["hit"] == hit), lambda m: m["g"])
-        return F.concat(take(F.lit(False)), F.array(F.concat(F.flatten(take(F.lit(True))), F.array(x))))
+        def sort(s: Column, g: Column) -> Column:
+            return F.when(F.exists(g, lambda q: near(x, q)), state(s["rest"], F.concat(s["met"], g))).otherwise(state(F.concat(s["rest"], F.array(g)), s["met"]))
+
+        return F.aggregate(groups, state(F.array().cast(kind), F.array(x)), sort, lambda s: F.concat(s["rest"], F.array(s["met"])))
 
     folded = pages.select("page_id", F.explode(F.aggregate("rows", F.array().cast(kind), place)).alias("g"))
     ids = F.transform("g", lambda x: x["box_id"])
