@@ -7,6 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """value rounded half away from zero; a negative one that rounds to zero stays -0.0, as in DuckDB."""
+    return F.signum(value) * F.round(F.abs(value), places)
+
+
 def turn(x: Column, y: Column, degrees: Column) -> Column:
     """struct(x, y): an offset turned anticlockwise on a page whose y goes down."""
     a = F.radians(degrees)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import codes, strings
+from quillet.functions import geometry as geo
 from quillet.operators import candidates as cand
 from quillet.operators import coding, layout, sequences
 from quillet.plans import sql
@@ -339,7 +340,7 @@ def line_fits(spark, sf_dir):
     fits = b.groupBy("page_id").agg(
         F.expr("regr_slope(t, l)").alias("slope"), F.expr("regr_intercept(t, l)").alias("intercept"), F.count_distinct("l").alias("xs"), F.atan2(F.sum(F.sin(2 * a)), F.sum(F.cos(2 * a))).alias("twice")
     )
-    return fits.where("xs > 1").select("page_id", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round(F.col("twice") / 2, 4).alias("axis"))
+    return fits.where("xs > 1").select("page_id", geo.rounded("slope", 4).alias("slope"), geo.rounded("intercept", 3).alias("intercept"), geo.rounded(F.col("twice") / 2, 4).alias("axis"))
 
 
 @query

@@ -81,7 +81,7 @@ SELECT page_id, inliers, round(slope, 4) AS slope, round(intercept, 3) AS interc
 def best_lines(spark, sf_dir):
     """The line that most boxes' left edges are near."""
     points = ad.boxes(spark, sf_dir).select("page_id", F.col("box_id").alias("point_id"), F.col("l").alias("x"), ((F.col("t") + F.col("b")) / 2).alias("y"))
-    return tracks.best_line(points, 20.5).withColumn("slope", F.round("slope", 4)).withColumn("intercept", F.round("intercept", 3))
+    return tracks.best_line(points, 20.5).withColumn("slope", geo.rounded("slope", 4)).withColumn("intercept", geo.rounded("intercept", 3))
 
 
 @query(f"""WITH {ad.BOXES}, c AS (SELECT page_id, box_id, (l - 300) / 40 AS a, (t - 200) / 30 AS z, b - t AS h FROM boxes), d AS (SELECT *, greatest(a, z) AS adv, -least(a, z) AS ret FROM c)
