@@ -37,6 +37,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -203,16 +205,14 @@ def fit_all(documents: DataFrame, blocks: list[Benchmark]) -> list[Benchmark]:
     vocabulary = {w: i for i, w in enumerate(sorted({w for b in blocks for w in b.vocabulary}))}
 
     def count(batches):
-        cache = Ids(vocabulary)
-        df, n = np.zeros(len(vocabulary) + 2, np.int64), 0
+        known = frozenset(vocabulary)
+        df, n = np.zeros(len(vocabulary) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                if len(cache) > 300_000:
-                    cache.clear()
-                df[list(set(map(cache.__getitem__, set((text or "").split()))))] += 1
+                df[[vocabulary[w] for w in known.intersection(stripped(set(lowered(text or ""))))]] += 1
         df[len(vocabulary)] = n  # in place of other words
-        at = np.flatnonzero(df[: len(vocabulary) + 1])
+        at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], ["word", "df"])
 
     df, n_docs = np.zeros(len(vocabulary)), 0
@@ -228,17 +228,14 @@ def fit_all(documents: DataFrame, blocks: list[Benchmark]) -> list[Benchmark]:
     return blocks
 
 
-class Ids(dict):
-    """word -> id: a benchmark word's place, one past them for other words, two past for words of marks only."""
+def lowered(text: str) -> list[str]:
+    """The text's words in lower case, as normal() has them before it takes the marks; one call for the whole text."""
+    return text.lower().split()
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> int:
-        w = normal(word)
-        found = self[word] = self.vocabulary.get(w, len(self.vocabulary)) if w else len(self.vocabulary) + 1
-        return found
+def stripped(words: Iterable[str]) -> Iterator[str]:
+    """The lower-case words without marks at their ends; words of marks only are empty."""
+    return map(str.strip, words, repeat(_STRIP))
 
 
 class Searcher:
@@ -251,7 +248,8 @@ class Searcher:
         # the most that one word adds to the product with any passage's point; other words add nothing
         most = [(block.basis[k : k + 1000] @ block.points.T).max(axis=1) for k in range(0, len(block.basis), 1000)] if len(block.points) else [np.zeros(len(block.basis))]
         self.most = np.append(np.maximum(np.concatenate(most), 0), [0.0, 0.0])
-        self.cache = Ids(block.vocabulary)
+        #: A benchmark word's place; other words are one past them, words of marks only two past.
+        self.place = {**block.vocabulary, "": len(block.vocabulary) + 1}
         self.hashes = WordHashes()
         self.index()
         self.place_of = {x[:2]: k for k, x in enumerate(block.by_words)}
@@ -293,15 +291,16 @@ class Searcher:
         return out
 
     def ordered(self, passage: int, ids: list[int]) -> int:
-        """Longest common subsequence of the passage and the ids."""
-        masks = self.masks[passage]
-        full = row = (1 << sum(m.bit_count() for m in masks.values())) - 1
-        for w in ids:
-            m = masks.get(w)
-            if m is not None:
-                u = row & m
-                row = (row + u | row - u) & full
-        return full.bit_length() - row.bit_count()
+        """Longest common subsequence of the passage and the ids; where too few ids are the passage's to reach `need`, their number."""
+        masks, (_, start, end) = self.masks[passage], self.b.by_words[passage]
+        own = [masks[w] for w in ids if w in masks]
+        if len(own) < self.need[passage]:
+            return len(own)
+        full = row = (1 << end - start) - 1
+        for m in own:
+            u = row & m
+            row = (row + u | row - u) & full
+        return end - start - row.bit_count()
 
     def word_hits(self, raw: list[str], place: np.ndarray, ids: np.ndarray, found: dict[int, float]) -> None:
         """Adds the items whose passages a stretch of the text, of up to twice their length, passes the checks for."""
@@ -325,14 +324,12 @@ class Searcher:
 
     def hits(self, text: str) -> list[tuple[int, float]]:
         """(item_id, share of the item's best passage that the text holds in order) of the items in the text."""
-        raw = text.split()
+        raw = lowered(text)
         if not raw:
             return []
         found = self.exact_hits(raw) if self.b.exact else {}
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        ids = np.fromiter(map(self.cache.__getitem__, raw), np.int64, len(raw))
         n_words = len(self.b.vocabulary)
+        ids = np.fromiter(map(self.place.get, stripped(raw), repeat(n_words)), np.int64, len(raw))
         place = np.flatnonzero(ids <= n_words)  # words of marks only are left out
         ids = ids[place]
         if len(ids) and self.masks:
@@ -388,7 +385,7 @@ class Searcher:
 
     def exact_hits(self, raw: list[str]) -> dict[int, float]:
         """Items of the exact path that the text holds word for word."""
-        words = [w for w in map(normal, raw) if w]
+        words = [w for w in stripped(raw) if w]
         h = self.hashes.of([w.encode() for w in words])
         out = {}
         for n, known in self.b.exact.items():
