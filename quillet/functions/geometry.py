@@ -12,6 +12,47 @@ def rounded(value: Column | str, places: int) -> Column:
     return F.signum(value) * F.round(F.abs(value), places)
 
 
+def rounded_ratio(numerator: Column, denominator: Column, places: int) -> Column:
+    """numerator / denominator, whole decimals and a positive denominator, rounded half away from zero without an error before that."""
+    twice = 2 * F.abs(numerator) * 10**places + denominator
+    units = F.call_function("div", twice, 2 * denominator)
+    return F.signum(numerator.cast("double")) * (units.cast("double") / 10**places)
+
+
+def exact_fit(x: str, y: str) -> Column:
+    """Aggregate struct(n, x, y, xx, xy) of whole coordinates (pairs with a null are left out): counts and sums that no order of rows changes."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    px, py = (F.when(both, F.col(c)).cast("decimal(12,0)") for c in (x, y))
+    return F.struct(F.count(px).cast("decimal(12,0)").alias("n"), F.sum(px).alias("x"), F.sum(py).alias("y"), F.sum(px * px).alias("xx"), F.sum(px * py).alias("xy"))
+
+
+def fit_slope(fit: str, places: int) -> Column:
+    """Least-squares slope of an exact_fit, rounded; null where all x are equal."""
+    f = F.col(fit)
+    return rounded_ratio(f["n"] * f["xy"] - f["x"] * f["y"], _spread(fit), places)
+
+
+def fit_intercept(fit: str, places: int) -> Column:
+    """Least-squares intercept of an exact_fit, rounded; null where all x are equal."""
+    f = F.col(fit)
+    return rounded_ratio(f["y"] * f["xx"] - f["x"] * f["xy"], _spread(fit), places)
+
+
+def _spread(fit: str) -> Column:
+    f = F.col(fit)
+    return F.nullif(f["n"] * f["xx"] - f["x"] * f["x"], F.lit(0).cast("decimal(38,0)"))
+
+
+def mean_axis(radians: Column) -> Column:
+    """Aggregate: half the angle of the doubled directions' sum, added in order of size so that reruns agree; null without directions.
+
+    Directions that cancel have no axis: the figure is then what rounding leaves of their sum.
+    """
+    turns = F.array_sort(F.collect_list(2 * radians))
+    add = lambda f: F.aggregate(turns, F.lit(0.0), lambda s, a: s + f(a))
+    return F.when(F.size(turns) > 0, F.atan2(add(F.sin), add(F.cos)) / 2)
+
+
 def turn(x: Column, y: Column, degrees: Column) -> Column:
     """struct(x, y): an offset turned anticlockwise on a page whose y goes down."""
     a = F.radians(degrees)

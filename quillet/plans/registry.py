@@ -334,13 +334,11 @@ def timing_rollup(spark, sf_dir):
 
 @query
 def line_fits(spark, sf_dir):
-    """Least-squares line, correlation and mean axis of each order's boxes."""
+    """Least-squares line and mean axis of each order's boxes; corners are whole numbers, so the line is exact up to its rounding."""
     b = ad.boxes(spark, sf_dir)
     a = F.radians(F.pmod(F.col("l") + F.col("t"), F.lit(180.0)))
-    fits = b.groupBy("page_id").agg(
-        F.expr("regr_slope(t, l)").alias("slope"), F.expr("regr_intercept(t, l)").alias("intercept"), F.count_distinct("l").alias("xs"), F.atan2(F.sum(F.sin(2 * a)), F.sum(F.cos(2 * a))).alias("twice")
-    )
-    return fits.where("xs > 1").select("page_id", geo.rounded("slope", 4).alias("slope"), geo.rounded("intercept", 3).alias("intercept"), geo.rounded(F.col("twice") / 2, 4).alias("axis"))
+    fits = b.groupBy("page_id").agg(geo.exact_fit("l", "t").alias("fit"), F.min("l").alias("low"), F.max("l").alias("high"), geo.mean_axis(a).alias("axis"))
+    return fits.where("low < high").select("page_id", geo.fit_slope("fit", 4).alias("slope"), geo.fit_intercept("fit", 3).alias("intercept"), geo.rounded("axis", 4).alias("axis"))
 
 
 @query

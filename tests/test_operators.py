@@ -188,3 +188,31 @@ def test_hull_and_rectangle_against_plain_loops(spark):
     assert len(ring) == 64 and max(c.x for c in ring) == 5.0 and min(c.y for c in ring) == -1.0
     h = geometry.homography([(0, 0), (10, 0), (10, 10), (0, 10)], [(1, 1), (21, 3), (19, 22), (0, 20)])
     assert np.allclose(geometry.composed(h, geometry.inverse(h)), np.eye(3), atol=1e-9)
+
+
+def test_line_fits_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Lines whose slope or intercept lies halfway between two figures, and directions that cancel, in every order of their boxes."""
+    import itertools
+    from fractions import Fraction
+
+    # (l_partkey, l_suppkey, l_linenumber)
+    pages = [
+        [(19522, 706, 3), (9139, 770, 2), (4639, 530, 2)], [(6242, 981, 6), (15719, 389, 2), (2744, 461, 1), (1025, 17, 2), (2933, 957, 1)],
+        [(11657, 545, 1), (9332, 953, 7), (16928, 441, 3)], [(13371, 245, 2), (14160, 788, 6), (5698, 852, 4), (8736, 550, 7)],
+    ]
+    rows, want = [], {}
+    for p, page in enumerate(pages):
+        x, y = [k % 3 * 300 + s % 40 for k, s, _ in page], [n * 60 + k % 17 for k, _, n in page]
+        n, sx, sy, sxx, sxy = len(page), sum(x), sum(y), sum(a * a for a in x), sum(a * b for a, b in zip(x, y))
+        fit = Fraction(n * sxy - sx * sy, n * sxx - sx * sx) * 10**4, Fraction(sy * sxx - sx * sxy, n * sxx - sx * sx) * 10**3
+        halves_up = [(-1) ** (v < 0) * int(abs(v) + Fraction(1, 2)) for v in fit]
+        want[p] = (halves_up[0] / 10**4, halves_up[1] / 10**3)
+        for i, order in enumerate(itertools.permutations(page)):
+            rows += [(p * 1000 + i, *box, 1.0) for box in order]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    for c in "l_extendedprice l_discount l_tax l_shipdate l_returnflag l_linestatus".split():
+        lines = lines.withColumn(c, F.lit(0.0))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["line_fits"](spark, str(tmp_path)).collect()
+    assert {(r.page_id // 1000, r.slope, r.intercept) for r in got} == {(p, *fit) for p, fit in want.items()}
+    assert len({(r.page_id // 1000, r.axis) for r in got}) == len(pages) and len(got) == 6 + 120 + 6 + 24
