@@ -1,12 +1,12 @@
 """Secret scan: base patterns, and probabilistic automata inferred from labelled credentials.
 
-Base spans come from three fixed patterns. Their matches are the labelled credentials; a bounded
-sample of them per kind (SAMPLE_PER_KIND, the smallest hashes of distinct values) and a few
-made-up credentials of public formats train one prefix-tree automaton per kind over whole values, whose
-statistically compatible states are merged (ALERGIA: Hoeffding test on the outgoing frequencies,
-recursive over successors; states that are seen often and differ in how soon a value can end stay
-apart). Characters enter as classes, so that the automaton learns a format and not the values. The
-background is a bigram model of the corpus's other long tokens (BACKGROUND of them, drawn by occurrence).
+Base spans come from three fixed patterns. Their matches are the labelled credentials: every distinct
+one of each kind, and a few made-up credentials of public formats, train one prefix-tree automaton per kind
+over whole values, whose statistically compatible states are merged (ALERGIA: Hoeffding test on the
+outgoing frequencies, recursive over successors; states that are seen often and differ in how soon a value
+can end stay apart). Characters enter as classes, so that the automaton learns a format and not the values;
+values of one shape are counted by Spark and reach the driver as one row. The background is a bigram model
+of all the corpus's other long tokens, once for each text that has them, counted where the texts are.
 Every token of MIN_TOKEN characters or more of every text is then scored, those of base spans too: mean
 log-likelihood per character under the best automaton minus that under the background. Tokens over
 THRESHOLD outside the base spans add spans of kind "format"; base spans always stay.
@@ -19,15 +19,17 @@ credentials alone.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import random
 import re
 import string
+from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.session import ship_package
@@ -36,15 +38,15 @@ from .text import map_batches, only
 
 KINDS = ("assign", "access", "hex")
 EXTRA_KIND = "format"
-#: Bound on the labelled credentials of each kind that training uses.
-SAMPLE_PER_KIND = 400
-#: Bound on the other tokens that the background learns from.
-BACKGROUND = 4000
 #: Least mean log-likelihood ratio (nats per character) of an added span.
 THRESHOLD = 0.6
 MIN_TOKEN = 12
 #: Values that must pass two states before their least distances to an end tell them apart.
 SURE = 30
+#: Distinct credentials that a task holds before it hands them on.
+HELD = 50_000
+#: Kind of the rows that count the background's pairs of classes.
+PAIR = "pair"
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # maximal runs of 18 or more
@@ -104,113 +106,178 @@ def symbol(c: str) -> str:
 CLASS_SIZE = {"0": 10, "a": 6, "z": 20, "A": 6, "Z": 20}
 
 
-class Automaton:
-    """A probabilistic automaton: transitions state -> symbol -> (next, count), and counts of ends."""
+class _Classes(dict):
+    """Character code -> class, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        found = self[code] = symbol(chr(code))
+        return found
+
+
+_CLASSES = _Classes()
 
-    def __init__(self, words: list[str], alpha: float = 0.05):
-        self.next: list[dict[str, int]] = [{}]
+#: A state, or a branch of the tree that one shape alone takes: (shape's number, position).
+Node = int | tuple[int, int]
+
+
+class Automaton:
+    """A probabilistic automaton: transitions state -> symbol -> (next, count), and counts of ends.
+
+    words are values or shapes, repeated or with their counts. The tree holds a state only where shapes part;
+    the rest of a shape is a reference into it until a merge needs its states.
+    """
+
+    def __init__(self, words: list[str] | dict[str, int], alpha: float = 0.05):
+        shapes: Counter[str] = Counter()
+        for word, n in Counter(words).items():
+            shapes[word.translate(_CLASSES)] += n
+        self.shapes, self.weights = sorted(shapes), [n for _, n in sorted(shapes.items())]
+        self.next: list[dict[str, Node]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]
-        for word in sorted(words):
-            at = 0
-            for c in word:
-                s = symbol(c)
-                if s not in self.next[at]:
-                    self.next.append({})
-                    self.count.append({})
-                    self.ends.append(0)
-                    self.next[at][s] = len(self.next) - 1
-                    self.count[at][s] = 0
-                self.count[at][s] += 1
-                at = self.next[at][s]
-            self.ends[at] += 1
+        self.soonest: list[float] = [math.inf]
+        for k in range(len(self.shapes)):
+            self.insert(k)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         # the least number of characters to an end; a child's place in the list is after its parent's
-        self.soonest = [0 if n else math.inf for n in self.ends]
         for q in range(len(self.next) - 1, -1, -1):
-            self.soonest[q] = min([self.soonest[q], *(1 + self.soonest[t] for t in self.next[q].values())])
+            self.soonest[q] = min([0 if self.ends[q] else math.inf, *(1 + self.look(t)[3] for t in self.next[q].values())])
         self.merge_all()
 
-    def total(self, q: int) -> int:
-        return self.ends[q] + sum(self.count[q].values())
+    def insert(self, k: int) -> None:
+        at, n = 0, self.weights[k]
+        for pos, s in enumerate(self.shapes[k]):
+            self.count[at][s] = self.count[at].get(s, 0) + n
+            if s not in self.next[at]:
+                self.next[at][s] = (k, pos + 1)
+                return
+            at = self.state(at, s)
+        self.ends[at] += n
+
+    def state(self, q: int, s: str) -> int:
+        """The state that s leads to from q, made from its reference if need be."""
+        target = self.next[q][s]
+        if isinstance(target, tuple):
+            _, ends, count, soonest, following = self.look(target)
+            self.ends.append(ends)
+            self.count.append(dict(count))
+            self.next.append(dict(following))
+            self.soonest.append(soonest)
+            target = self.next[q][s] = len(self.next) - 1
+        return target
+
+    def look(self, q: Node) -> tuple[int, int, dict[str, int], float, dict[str, Node]]:
+        """Values that reach q and that end there, counts of symbols, least distance to an end, successors."""
+        if not isinstance(q, tuple):
+            return self.ends[q] + sum(self.count[q].values()), self.ends[q], self.count[q], self.soonest[q], self.next[q]
+        k, pos = q
+        shape, n = self.shapes[k], self.weights[k]
+        if pos == len(shape):
+            return n, n, {}, 0, {}
+        return n, 0, {shape[pos]: n}, len(shape) - pos, {shape[pos]: (k, pos + 1)}
 
     def differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
-    def compatible(self, q: int, r: int, seen: set[tuple[int, int]]) -> bool:
+    def compatible(self, q: Node, r: Node) -> bool:
         """Hoeffding test on ends and symbols, and on the successors of both."""
-        stack = [(q, r)]
+        stack, seen = [(q, r)], set()
         while stack:
             q, r = stack.pop()
             if q == r or (q, r) in seen:
                 continue
-            seen.add((q, r))
-            n1, n2 = self.total(q), self.total(r)
-            if not n1 or not n2:
+            if not isinstance(r, tuple):  # a reference only moves on
+                seen.add((q, r))
+            n1, ends1, count1, soonest1, next1 = self.look(q)
+            n2, ends2, count2, soonest2, next2 = self.look(r)
+            if self.bound >= math.sqrt(min(n1, n2)):  # so few that no difference, here or further on, is beyond the bound
                 continue
-            if self.differ(self.ends[q], n1, self.ends[r], n2) or min(n1, n2) >= SURE and self.soonest[q] != self.soonest[r]:
+            if self.differ(ends1, n1, ends2, n2) or min(n1, n2) >= SURE and soonest1 != soonest2:
                 return False
-            for s in self.count[q].keys() | self.count[r].keys():
-                if self.differ(self.count[q].get(s, 0), n1, self.count[r].get(s, 0), n2):
+            for s in count1.keys() | count2.keys():
+                if self.differ(count1.get(s, 0), n1, count2.get(s, 0), n2):
                     return False
-                if s in self.next[q] and s in self.next[r]:
-                    stack.append((self.next[q][s], self.next[r][s]))
+                if s in next1 and s in next2:
+                    stack.append((next1[s], next2[s]))
         return True
 
-    def fold(self, q: int, r: int) -> None:
-        """Add the subtree at r to q; r is the root of a tree part, so this ends."""
-        stack = [(q, r)]
+    def fold(self, q: int, r: Node) -> list[int]:
+        """Add the subtree at r, the root of a tree part, to q and let its states go. The states that got a successor."""
+        stack, grown = [(q, r)], []
         while stack:
             q, r = stack.pop()
-            if q == r:
+            if isinstance(r, tuple):
+                k, pos = r
+                shape, n = self.shapes[k], self.weights[k]
+                while pos < len(shape):
+                    s, pos = shape[pos], pos + 1
+                    self.count[q][s] = self.count[q].get(s, 0) + n
+                    if s not in self.next[q]:
+                        self.next[q][s] = (k, pos)
+                        grown.append(q)
+                        break
+                    q = self.state(q, s)
+                else:
+                    self.ends[q] += n
                 continue
             self.ends[q] += self.ends[r]
-            for s, target in list(self.next[r].items()):
-                self.count[q][s] = self.count[q].get(s, 0) + self.count[r][s]
+            count, following = self.count[r], self.next[r]
+            self.count[r] = self.next[r] = None
+            for s, target in following.items():
+                self.count[q][s] = self.count[q].get(s, 0) + count[s]
                 if s not in self.next[q]:
-                    self.next[q][s] = q if target == r else target
-                elif target != r:
-                    stack.append((self.next[q][s], target))
+                    self.next[q][s] = target
+                    grown.append(q)
+                else:
+                    stack.append((self.state(q, s), target))
+        return grown
 
     def merge_all(self) -> None:
-        red, blue = [0], sorted(set(self.next[0].values()))
-        parent = {t: (0, s) for s, t in self.next[0].items()}
-        while blue:
-            r = blue.pop(0)
+        """Red states are final; the first successor of the earliest red state that is not red is next."""
+        red, place, open_ = [0], {0: 0}, [0]
+        while open_:
+            p = red[open_[0]]
+            s = min((s for s, t in self.next[p].items() if t not in place), default=None)
+            if s is None:
+                heapq.heappop(open_)
+                continue
+            r = self.next[p][s]
             for q in red:
-                if self.compatible(q, r, set()):
-                    p, s = parent[r]
+                if self.compatible(q, r):
                     self.next[p][s] = q
-                    self.fold(q, r)
+                    for grown in self.fold(q, r):
+                        if grown in place:
+                            heapq.heappush(open_, place[grown])
                     break
             else:
+                r = self.state(p, s)
+                place[r] = len(red)
+                heapq.heappush(open_, len(red))
                 red.append(r)
-            blue = []
-            for q in red:
-                for s, t in sorted(self.next[q].items()):
-                    if t not in red and t not in blue:
-                        blue.append(t)
-                        parent[t] = (q, s)
-        self.states = red
+        self.next = [{s: place[t] for s, t in self.next[q].items()} for q in red]
+        self.count, self.ends = [self.count[q] for q in red], [self.ends[q] for q in red]
+        self.totals = [n + sum(c.values()) for n, c in zip(self.ends, self.count)]
+        self.states = list(range(len(red)))
+        del self.shapes, self.weights, self.soonest
 
     def score(self, word: str) -> float:
         """Log-likelihood of word; a step never seen costs as one of a hundred."""
         at, out = 0, 0.0
-        for c in word:
-            s = symbol(c)
-            n = self.total(at)
+        for s in word.translate(_CLASSES):
             seen = self.count[at].get(s, 0)
-            out += math.log((seen + 0.01) / (n + 0.1)) - math.log(CLASS_SIZE.get(s, 1))
+            out += math.log((seen + 0.01) / (self.totals[at] + 0.1)) - math.log(CLASS_SIZE.get(s, 1))
             at = self.next[at].get(s, at)
-        return out + math.log((self.ends[at] + 0.01) / (self.total(at) + 0.1))
+        return out + math.log((self.ends[at] + 0.01) / (self.totals[at] + 0.1))
 
 
 class Background:
-    """Bigrams of character classes in ordinary tokens."""
+    """Bigrams of character classes in ordinary tokens, and those that were counted elsewhere ("^" stands before a token)."""
 
-    def __init__(self, tokens: list[str]):
-        self.pair: dict[str, int] = {}
+    def __init__(self, tokens: list[str], counted: dict[str, int] | None = None):
+        self.pair: dict[str, int] = dict(counted or {})
         self.one: dict[str, int] = {}
+        for pair, n in self.pair.items():
+            self.one[pair[0]] = self.one.get(pair[0], 0) + n
         for token in tokens:
             before = "^"
             for c in token:
@@ -260,51 +327,59 @@ def background_tokens(seed: int = 12) -> list[str]:
 class Formats:
     """The trained automata and the background: ratio(token) is the best mean log-likelihood ratio."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str] | None = None):
+    def __init__(self, labelled: dict[str, list[str] | dict[str, int]], pairs: dict[str, int] | None = None):
         self.automata = {kind: Automaton(words) for kind, words in sorted(labelled.items()) if words}
-        self.background = Background(background_tokens() + (ordinary or []))
+        self.background = Background(background_tokens(), pairs)
 
     def ratio(self, token: str) -> tuple[float, str]:
         base = self.background.score(token)
         return max(((a.score(token) - base) / len(token), kind) for kind, a in self.automata.items())
 
 
-def _labelled(documents: DataFrame) -> dict[str, list[str]]:
-    """Bounded samples: of each kind's distinct credentials, and of the occurrences of other long tokens, the least by hash."""
-    bounds = dict.fromkeys(KINDS, SAMPLE_PER_KIND) | {"other": BACKGROUND}
+#: The classes of the characters that credentials and tokens are made of.
+_CHARACTERS = string.ascii_letters + string.digits + "+/_.=-"
+_SYMBOLS = "^0azAZ+/_.=-"
+_CODES = bytes(_SYMBOLS.index(symbol(chr(b))) if chr(b) in _CHARACTERS else 0 for b in range(256))
+
+
+def pair_counts(tokens: list[str]) -> np.ndarray:
+    """How often each class (column) follows each class or a token's beginning (row); see _SYMBOLS."""
+    codes = np.frombuffer("\n".join(["", *tokens, ""]).encode("ascii").translate(_CODES), np.uint8).astype(np.int64)
+    return np.bincount(codes[:-1] * len(_SYMBOLS) + codes[1:], minlength=len(_SYMBOLS) ** 2).reshape(-1, len(_SYMBOLS))
+
+
+def _labelled(documents: DataFrame) -> dict[str, dict[str, int]]:
+    """Of the whole corpus: each kind's shapes with the number of distinct credentials of that shape, and the pairs of classes in other long tokens."""
 
-    def sample(batches):
-        kept: dict[str, dict[int, str]] = {kind: {} for kind in bounds}
+    def count(batches):
+        kept: set[tuple[str, str]] = set()
+        pairs = np.zeros((len(_SYMBOLS), len(_SYMBOLS)), np.int64)
 
-        def cut() -> None:
-            for kind, own in kept.items():
-                if len(own) > bounds[kind]:
-                    kept[kind] = {h: own[h] for h in sorted(own)[: bounds[kind]]}
+        def rows(found: list[tuple[str, str, int]]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), (), ()]
+            return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["kind", "value", "n"])
 
         for batch in batches:
+            tokens: list[str] = []
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 base = base_spans(text)
-                for _, _, kind, value in base:
-                    kept[kind][xxhash.xxh64_intdigest(value) >> 1] = value
-                seed = xxhash.xxh64_intdigest(text)
-                for token in {t for _, _, t in candidates(text, base)}:
-                    kept["other"][xxhash.xxh64_intdigest(token, seed) >> 1] = token
-                if any(len(own) > 4 * bounds[kind] for kind, own in kept.items()):
-                    cut()
-        cut()
-        rows = [(kind, h, value) for kind, own in kept.items() for h, value in own.items()]
-        columns = list(zip(*rows)) or [(), (), ()]
-        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["kind", "hash", "value"])
-
-    found = only(documents, "text").mapInArrow(sample, "kind string, hash long, value string").distinct()
-    order = Window.partitionBy("kind").orderBy("hash", "value")
-    rank = F.when(F.col("kind") == "other", F.lit(BACKGROUND)).otherwise(F.lit(SAMPLE_PER_KIND))
-    rows = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rank).select("kind", "value").collect()
-    out: dict[str, list[str]] = {kind: [] for kind in bounds}
-    for kind, value in sorted(rows):
-        out[kind].append(value)
+                kept.update((kind, value) for _, _, kind, value in base)
+                tokens += {t for _, _, t in candidates(text, base)}
+            pairs += pair_counts(tokens)
+            if len(kept) > HELD:
+                yield rows([(*x, 1) for x in kept])
+                kept.clear()
+        found = [(PAIR, _SYMBOLS[i] + _SYMBOLS[j], int(pairs[i, j])) for i, j in np.argwhere(pairs[:, 1:]) + [0, 1]]
+        yield rows([(*x, 1) for x in kept] + found)
+
+    values = only(documents, "text").mapInArrow(count, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    shape = F.translate("value", _CHARACTERS, "".join(map(symbol, _CHARACTERS)))
+    shapes = values.groupBy("kind", shape.alias("shape")).agg(F.sum(F.when(F.col("kind") == PAIR, F.col("n")).otherwise(1)).alias("n"))
+    out: dict[str, dict[str, int]] = {kind: {} for kind in (*KINDS, PAIR)}
+    for kind, found, n in shapes.collect():
+        out[kind][found] = n
     return out
 
 
@@ -317,7 +392,7 @@ def find_secrets(documents: DataFrame, formats: Formats | None = None, threshold
     ship_package(documents.sparkSession)
     if formats is None:
         labelled = _labelled(documents)
-        formats = Formats(seed_credentials() | {kind: labelled[kind] for kind in KINDS}, labelled["other"])
+        formats = Formats(seed_credentials() | {kind: labelled[kind] for kind in KINDS}, labelled[PAIR])
     model = formats
     order = {kind: k for k, kind in enumerate((*KINDS, EXTRA_KIND))}
 

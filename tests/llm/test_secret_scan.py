@@ -94,3 +94,40 @@ def test_no_kind_collapses():
     draw = random.Random(6)
     values = ["".join(draw.choice(string.ascii_letters + string.digits) for _ in range(draw.randrange(12, 40))) for _ in range(400)]
     assert len(Automaton(values).states) > 5
+
+
+def test_every_credential_and_token_trains(spark):
+    """More credentials and other tokens than any sample held: the model is the one that all of them give, copies of a value once."""
+    import random
+    import string
+    from collections import Counter
+
+    from quillet.llm.secret_scan import KINDS, Background, candidates, symbol
+
+    draw = random.Random(9)
+    value = lambda: "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(draw.randrange(12, 30)))
+    texts = [" ".join([f"token={value()}" for _ in range(3)] + [f"{draw.getrandbits(80):020x}"] + ["Wort" * draw.randrange(3, 6) + f"-{draw.randrange(900)}" for _ in range(10)]) for _ in range(500)]
+    texts += texts[:20] + [None, ""]
+    labelled, pairs = {kind: set() for kind in KINDS}, Counter()
+    for text in texts:
+        base = base_spans(text or "")
+        for _, _, kind, v in base:
+            labelled[kind].add(v)
+        for token in {t for _, _, t in candidates(text or "", base)}:
+            line = "^" + "".join(map(symbol, token))
+            pairs.update(a + b for a, b in zip(line, line[1:]))
+    assert len(labelled["assign"]) > 1200 and sum(n for p, n in pairs.items() if p[0] == "^") > 4000
+    model = Formats(seed_credentials() | {kind: sorted(v) for kind, v in labelled.items()}, pairs)
+    assert Background([], pairs).one["^"] == sum(n for p, n in pairs.items() if p[0] == "^")
+    rows = find_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)).collect()
+    for r in rows:
+        base = base_spans(texts[r.doc_id] or "")
+        spans = [x.split(":")[0] for x in r.spans.split(",") if x]
+        got = [x for x, kind in zip(r.scores.split(","), spans) if kind != "format"]
+        assert got == [f"{like}:{x:.3f}" for x, like in (model.ratio(v) for _, _, _, v in base)]
+
+
+def test_a_shape_that_few_share_is_kept_as_a_reference():
+    """A value of a million characters costs its text and no state a character."""
+    long = Automaton({"0" * 1_000_000: 1, "a" * 500_000: 1, "0a" * 10: 40})
+    assert len(long.states) < 50 and long.totals[0] >= 42
